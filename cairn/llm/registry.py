@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import op1_language as _op1
 from . import op5_decontaminate as _op5
 
 QUERIES = {
+    "op1_language": _op1.op1,
     "op5_decontaminate": _op5.op5,
 }
 
