@@ -225,6 +225,12 @@ def learn(samples: list[tuple[str, str]], vocabulary: str, rounds: int = ROUNDS)
 def sample(documents: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, longest: int = LONGEST_SAMPLE) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows, by a hash of the id: first the ids, then their texts."""
     labelled = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~F.expr(HELD_OUT))
+    # a rate for each language that leaves about twice the rows wanted, so that ranking them costs nothing at any size
+    rates = {r[0]: min(1.0, 2 * docs_per_lang / r[1]) for r in labelled.groupBy("lang").count().collect()}
+    if not rates:
+        return []
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
+    labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = [r[0] for r in labelled.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang).select("doc_id").collect()]
     if not ids:
