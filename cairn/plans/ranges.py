@@ -1,0 +1,30 @@
+"""Range buckets of a key, found from quantiles of the key alone."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list[int]:
+    """Ascending bounds that part the keys into buckets of about ``rows_per_bucket`` rows."""
+    n = df.select(key).count()
+    k = -(-n // rows_per_bucket)
+    if k < 2:
+        return []
+    fractions = [i / k for i in range(1, k)]
+    got = df.agg(F.percentile_approx(key, fractions, 20 * k)).first()[0]
+    return sorted(set(got or []))
+
+
+def bucket(key: Column, ends: list[int]) -> Column:
+    """How many bounds are at or below the key, by binary search (a null key: 0)."""
+    if not ends:
+        return F.lit(0)
+    steps = [1 << i for i in range(len(ends).bit_length() - 1, -1, -1)]
+    table = F.array(*[F.lit(x).cast("long") for x in ends])
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= len(ends)) & (F.try_element_at(table, at + step) <= key), at + step).otherwise(at),
+    )
