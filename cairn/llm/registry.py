@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op1_language as _op1
+from . import op10_binary as _op10
 from . import op2_shard as _op2
 from . import op5_decontaminate as _op5
 from . import op7_tokens as _op7
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_token_counts": _op7.op7,
     "op8_jaccard_join": _op8.op8,
     "op9_secrets": _op9.op9,
+    "op10_binary": _op10.op10,
 }
 
 ORACLE_SQL = {
