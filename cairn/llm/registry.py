@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op1_language as _op1
 from . import op10_binary as _op10
 from . import op2_shard as _op2
+from . import op3_fingerprint as _op3
 from . import op5_decontaminate as _op5
 from . import op7_tokens as _op7
 from . import op8_jaccard as _op8
@@ -13,6 +14,7 @@ from . import op9_secrets as _op9
 QUERIES = {
     "op1_language": _op1.op1,
     "op2_shard": _op2.op2,
+    "op3_fingerprint": _op3.op3,
     "op5_decontaminate": _op5.op5,
     "op7_token_counts": _op7.op7,
     "op8_jaccard_join": _op8.op8,
