@@ -244,26 +244,36 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Whole groups of a stream sorted by ``keys``, several together until there are ``rows`` rows."""
-    held: list[pa.RecordBatch] = []
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int = 1 << 62) -> Iterator[pa.Table]:
+    """Whole groups of a stream sorted by ``keys``: together at most ``rows`` rows and ``size`` bytes of text, or one group."""
+    held: list[pa.Table] = []
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(b)
-        if sum(x.num_rows for x in held) < rows:
-            continue
-        t = pa.Table.from_batches(held)
-        change = np.zeros(t.num_rows, bool)
-        for k in keys:
-            v = t.column(k).to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        at = np.flatnonzero(change)
-        if len(at):
-            yield t.slice(0, int(at[-1])).combine_chunks()
-            held = t.slice(int(at[-1])).combine_chunks().to_batches()
+        held.append(pa.Table.from_batches([b]))
+        t = pa.concat_tables(held)
+        at = np.flatnonzero(np.diff(_group_numbers(t, keys))) + 1
+        if not len(at):
+            continue  # the group goes on
+        last = int(at[-1])
+        yield from _portions(t.slice(0, last).combine_chunks(), at, rows, size)
+        held = [t.slice(last).combine_chunks()]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        t = pa.concat_tables(held).combine_chunks()
+        yield from _portions(t, np.append(np.flatnonzero(np.diff(_group_numbers(t, keys))) + 1, t.num_rows), rows, size)
+
+
+def _portions(t: pa.Table, ends: np.ndarray, rows: int, size: int) -> Iterator[pa.Table]:
+    """Slices of the table that end at group ends."""
+    weight = textbuf.buffers(t.column("text"))[1] if "text" in t.column_names else np.zeros(t.num_rows + 1, np.int64)
+    lo = last = 0
+    for end in [int(e) for e in ends]:
+        if last > lo and (end - lo > rows or weight[end] - weight[lo] > size):
+            yield t.slice(lo, last - lo).combine_chunks()
+            lo = last
+        last = end
+    if last > lo:
+        yield t.slice(lo, last - lo).combine_chunks()
 
 
 def _group_numbers(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -283,7 +293,7 @@ _GROUP = ["grp", "bi", "bj"]
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _grouped(batches, _GROUP, 4096):
+    for t in _grouped(batches, _GROUP, 1 << 14):
         node = t.column("node").to_numpy()
         cross = t.column("bi").to_numpy() != t.column("bj").to_numpy()
         i, j = pairs(_group_numbers(t, _GROUP), t.column("blk").to_numpy(), cross, _sig(t))
@@ -294,7 +304,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _grouped(batches, _GROUP, 1):
+    for t in _grouped(batches, _GROUP, 1 << 14, 2 << 20):
         data, offsets = textbuf.buffers(t.column("text"))
         node = t.column("node").to_numpy()
         same = shingles(data, offsets)[3].view(np.int64) == node  # another text under a repeated id is not this node

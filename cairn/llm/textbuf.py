@@ -17,6 +17,7 @@ BLOCK_BYTES = 1 << 20
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
+KEPT = 1 << 23
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: byte -> lower-case byte of a word character, 0 for a separator.
@@ -56,22 +57,24 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n."""
+    """R**i and R**-i modulo 2**64 for i < n.  Tables up to ``KEPT`` entries are kept."""
+    for size, kept in _powers.items():
+        if size >= n:
+            return kept
     size = max(1 << 16, 1 << int(n).bit_length())
-    if size not in _powers:
-        if len(_powers) > 2:
-            _powers.clear()
-        out = []
-        for r in (_R, _R_INV):
-            p = np.ones(size, np.uint64)
-            done = 1
-            while done < size:  # doubling: R**(done + i) = R**done * R**i
-                step = np.uint64(pow(r, done, 1 << 64))
-                p[done : 2 * done] = p[:done] * step
-                done *= 2
-            out.append(p)
+    out = []
+    for r in (_R, _R_INV):
+        p = np.ones(size, np.uint64)
+        done = 1
+        while done < size:  # doubling: R**(done + i) = R**done * R**i
+            p[done : 2 * done] = p[:done] * np.uint64(pow(r, done, 1 << 64))
+            done *= 2
+        out.append(p)
+    if size <= KEPT:
+        for smaller in [k for k in _powers if k < size]:
+            del _powers[smaller]
         _powers[size] = (out[0], out[1])
-    return _powers[size]
+    return out[0], out[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
