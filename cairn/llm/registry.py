@@ -7,6 +7,7 @@ from . import op10_binary as _op10
 from . import op2_shard as _op2
 from . import op3_fingerprint as _op3
 from . import op5_decontaminate as _op5
+from . import op6_sentencepiece as _op6
 from . import op7_tokens as _op7
 from . import op8_jaccard as _op8
 from . import op9_secrets as _op9
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_shard": _op2.op2,
     "op3_fingerprint": _op3.op3,
     "op5_decontaminate": _op5.op5,
+    "op6_sentencepiece": _op6.op6,
     "op7_token_counts": _op7.op7,
     "op8_jaccard_join": _op8.op8,
     "op9_secrets": _op9.op9,
