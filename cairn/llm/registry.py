@@ -6,6 +6,7 @@ from . import op1_language as _op1
 from . import op10_binary as _op10
 from . import op2_shard as _op2
 from . import op3_fingerprint as _op3
+from . import op4_toxicity as _op4
 from . import op5_decontaminate as _op5
 from . import op6_sentencepiece as _op6
 from . import op7_tokens as _op7
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language": _op1.op1,
     "op2_shard": _op2.op2,
     "op3_fingerprint": _op3.op3,
+    "op4_toxicity": _op4.op4,
     "op5_decontaminate": _op5.op5,
     "op6_sentencepiece": _op6.op6,
     "op7_token_counts": _op7.op7,
