@@ -188,12 +188,29 @@ def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
     return joined.withColumn("text", cut("text", "hit_from", "hit_to")).select(*[F.col(c) for c in documents.columns])
 
 
-def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+def _keeper(bc):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: Grams = bc.value
+        bitmaps = {k: grams.bitmap(k) for k in grams.sets}
+        for b in textbuf.blocks(batches):
+            n_words, spans, _ = scan_block(*textbuf.buffers(b.column("text")), grams, bitmaps)
+            n_hit = [sum(e - a for a, e in merge(s)) if s else 0 for s in spans]
+            yield b.filter(pa.array([not (hit > 0 and 20 * hit >= n) for hit, n in zip(n_hit, n_words.tolist(), strict=True)], pa.bool_()))
+
+    return run
+
+
+def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the contaminated ones; all columns stay.
 
-    The verdicts are computed beside the rows and joined by document id.
+    Rows are filtered as they are scanned.  A benchmark of several blocks gives its verdicts beside
+    the rows, joined by document id.
     """
-    bad = report(scan(spark, documents, benchmark, **kw)).filter("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
+    parts = benchmark_blocks(benchmark, "item_id", "text", limit)
+    first = next(parts)
+    if next(parts, None) is None:
+        return documents.mapInArrow(_keeper(spark.sparkContext.broadcast(Grams(first, n))), documents.schema)
+    bad = report(scan(spark, documents, benchmark, n=n, limit=limit)).filter("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
     return documents.join(bad, documents["doc_id"].cast("long") == bad["_bad_id"], "left_anti")
 
 
