@@ -255,7 +255,7 @@ def write(spark: SparkSession, documents: DataFrame, folder: str, *, tokenizer:
     ends = ranges.bounds(rows, "doc_id", rows_per_shard)
     placed = rows.withColumn("shard", ranges.bucket(F.col("doc_id"), ends).cast("int"))
     sorted_rows = placed.repartitionById(len(ends) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
-    manifest = storage.stored(sorted_rows.mapInArrow(_writer(folder, path, end_id, width), "shard int, docs long, ids long"), "manifest")
+    manifest = storage.stored(textbuf.small_batches(sorted_rows).mapInArrow(_writer(folder, path, end_id, width), "shard int, docs long, ids long"), "manifest")
     # one small row per file: numbering them in one task is bounded by the number of files
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first_id", F.coalesce(F.sum("ids").over(order), F.lit(0)))

@@ -38,7 +38,7 @@ PIECE_BYTES = 12
 UNIT = 64
 ROUNDS = 4
 SMOOTH = 0.05
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
 
 
@@ -272,7 +272,7 @@ def predict(spark: SparkSession, rows: DataFrame, model: LanguageModel) -> DataF
     """The rows with ``lang_pred`` and ``score`` (columns of these names are replaced); only ``text`` is looked at."""
     kept = [f for f in rows.schema.fields if f.name not in ("lang_pred", "score")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return rows.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(_batches(spark.sparkContext.broadcast(model), [f.name for f in kept]), schema)
+    return textbuf.small_batches(rows).select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(_batches(spark.sparkContext.broadcast(model), [f.name for f in kept]), schema)
 
 
 def accepted(spark: SparkSession, documents: DataFrame, least: float = 0.5) -> DataFrame:

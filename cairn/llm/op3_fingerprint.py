@@ -194,7 +194,7 @@ def fingerprinted(documents: DataFrame, text: str = "text", name: str = "fingerp
             yield pa.RecordBatch.from_pydict({**{f.name: b.column(f.name) for f in kept}, name: pa.array([found.text(d) for d in range(b.num_rows)], pa.string())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` string"])
-    return documents.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return textbuf.small_batches(documents).select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
 def compared(rows: DataFrame, a: str, b: str, name: str = "likeness") -> DataFrame:
@@ -292,4 +292,4 @@ def neighbours(documents: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) ->
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return neighbours(docs).mapInArrow(_report, schema)
+    return textbuf.small_batches(neighbours(docs)).mapInArrow(_report, schema)

@@ -383,7 +383,7 @@ def scored(spark: SparkSession, rows: DataFrame, net: Network | None) -> DataFra
             yield pa.RecordBatch.from_pydict({**{f.name: b.column(f.name) for f in kept}, "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double", "predicted int"])
-    return rows.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return textbuf.small_batches(rows).select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

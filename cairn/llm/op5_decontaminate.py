@@ -153,7 +153,7 @@ def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, doc
     for k, items in enumerate(parts):
         last = k == len(parts) - 1
         run = _scanner(spark.sparkContext.broadcast(Grams(items, n)), carry=k > 0, keep_text=not last)
-        df = df.mapInArrow(run, SCAN_SCHEMA + ("" if last else ", text string"))
+        df = textbuf.small_batches(df).mapInArrow(run, SCAN_SCHEMA + ("" if last else ", text string"))
     return df
 
 
@@ -209,7 +209,7 @@ def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     parts = benchmark_blocks(benchmark, "item_id", "text", limit)
     first = next(parts)
     if next(parts, None) is None:
-        return documents.mapInArrow(_keeper(spark.sparkContext.broadcast(Grams(first, n))), documents.schema)
+        return textbuf.small_batches(documents).mapInArrow(_keeper(spark.sparkContext.broadcast(Grams(first, n))), documents.schema)
     bad = report(scan(spark, documents, benchmark, n=n, limit=limit)).filter("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
     return documents.join(bad, documents["doc_id"].cast("long") == bad["_bad_id"], "left_anti")
 

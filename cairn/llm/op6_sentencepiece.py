@@ -34,7 +34,7 @@ from .spm_model import SPACE, SpmModel
 from .units import UnitEncoder, joined
 
 MODEL = "piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -220,7 +220,7 @@ def encoded(documents: DataFrame, path: str | None = None, *, digest: bool = Fal
     path = path or model_path()
     rows = documents.select("doc_id", F.col("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_encoder(path, ["doc_id"], digest), f"doc_id {kind}, n_ids long, round_trip boolean, " + ("ids_crc32 long" if digest else "ids array<int>"))
+    return textbuf.small_batches(rows).mapInArrow(_encoder(path, ["doc_id"], digest), f"doc_id {kind}, n_ids long, round_trip boolean, " + ("ids_crc32 long" if digest else "ids array<int>"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def counted(documents: DataFrame, path: str | None = None, *, limit: int = LIMIT
             tokens = count_tokens(tokenizer, b.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)})
 
-    return documents.select(F.col("doc_id"), "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return textbuf.small_batches(documents).select(F.col("doc_id"), "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

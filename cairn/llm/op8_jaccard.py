@@ -341,7 +341,7 @@ def classes(spark: SparkSession, documents: DataFrame, *, doc_id: str = "doc_id"
     """One row per document: class_id (the smallest id of its near-duplicate class), n_links (documents
     that reach the threshold with it), n_copies (documents of equal words, itself included)."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = storage.stored(docs.mapInArrow(_signer, "doc_id long, k1 long, k2 long, n_words long, sig binary, bands array<long>"), "signed")
+    signed = storage.stored(textbuf.small_batches(docs).mapInArrow(_signer, "doc_id long, k1 long, k2 long, n_words long, sig binary, bands array<long>"), "signed")
     reps = storage.stored(
         signed.filter("k1 is not null")
         .groupBy(F.col("k1").alias("node"), "k2")
@@ -384,6 +384,8 @@ def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The documents with one of each near-duplicate class (the smallest id); columns stay."""
     found = storage.stored(classes(spark, documents), "classes")
     gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    if found.filter("doc_id <> class_id").count() <= SMALL_TABLE:
+        gone = F.broadcast(gone)
     out = documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
     doubled = found.filter("doc_id = class_id and n_copies > 1").groupBy("doc_id").count().filter("count > 1")
     return out.dropDuplicates(["doc_id"]) if doubled.limit(1).count() else out

@@ -128,7 +128,7 @@ def _reporter(bc):
 def report(spark: SparkSession, documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans as ``kind:start:end``."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_reporter(spark.sparkContext.broadcast(Scanner())), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return textbuf.small_batches(rows).mapInArrow(_reporter(spark.sparkContext.broadcast(Scanner())), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def redacted(spark: SparkSession, documents: DataFrame) -> DataFrame:
                 b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
             yield b
 
-    return documents.mapInArrow(run, documents.schema)
+    return textbuf.small_batches(documents).mapInArrow(run, documents.schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ BLOCK_BYTES = 1 << 20
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
-KEPT = 1 << 23
+KEPT = 1 << 22
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: byte -> lower-case byte of a word character, 0 for a separator.
@@ -28,6 +28,18 @@ for _b in range(0x41, 0x5B):
     LOWER[_b] = _b + 32
 
 
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(df):
+    """The rows, for a function over Arrow batches of few rows: texts are long, and the default of 10,000 rows
+    costs an executor tens of MB several times over.  A session's own setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(ROWS_PER_BATCH))
+    return df
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds at most ``limit`` bytes, or one row."""
     for batch in batches:
@@ -61,13 +73,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     for size, kept in _powers.items():
         if size >= n:
             return kept
-    size = max(1 << 16, 1 << int(n).bit_length())
+    size = -(-max(1, n) // (1 << 16)) << 16
     out = []
     for r in (_R, _R_INV):
         p = np.ones(size, np.uint64)
         done = 1
         while done < size:  # doubling: R**(done + i) = R**done * R**i
-            p[done : 2 * done] = p[:done] * np.uint64(pow(r, done, 1 << 64))
+            more = min(done, size - done)
+            p[done : done + more] = p[:more] * np.uint64(pow(r, done, 1 << 64))
             done *= 2
         out.append(p)
     if size <= KEPT:

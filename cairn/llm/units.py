@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from . import textbuf
 
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 LONG_UNIT = 256
 JOINED_UNITS = 1024
 
