@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, voxels
-from . import q_geometry, q_near, q_patches, q_points, q_poses, q_stats  # noqa: F401
+from . import q_cluster, q_geometry, q_io, q_near, q_patches, q_points, q_poses, q_stats  # noqa: F401
 from .registry import QUERIES, SQL, pts
 
 __all__ = ["QUERIES", "SQL", "entry"]
