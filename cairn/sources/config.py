@@ -50,4 +50,4 @@ def parse(text: str) -> Settings:
 
 def load(spark, path: str) -> Settings:
     """Read through Spark, so that any of its file systems will do."""
-    return parse("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
+    return parse("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))

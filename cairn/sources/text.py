@@ -44,7 +44,7 @@ def write_poses(poses: DataFrame, path: str, key: str = "epoch") -> None:
 def read_poses(spark: SparkSession, path: str, covariance: bool = True) -> DataFrame:
     """(epoch, t, vcm) by epoch, or (epoch, t) of blocks without covariance."""
     size = 11 if covariance else 5
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("i", "line"), F.xxhash64("value").alias("f"))
     # one file holds one series, a few lines per scan
     block = lines.groupBy("f", F.floor(F.col("i") / size).alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("b"))
