@@ -179,8 +179,9 @@ class Network:
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = np.clip(self.slope * self.text_logits(data, offsets) + self.shift, -500, 500)
-        return 1 / (1 + np.exp(-z))
+        logit = self.text_logits(data, offsets)
+        z = np.clip(self.slope * np.maximum(logit, -1e6) + self.shift, -500, 500)
+        return np.where(np.isfinite(logit), 1 / (1 + np.exp(-z)), 0.0)
 
     def gradients(self, codes: np.ndarray, x: np.ndarray, pad: int, label: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """(of the parameters, of the word vectors) for windows with labels; codes[t, window], pad rows are ``pad``."""

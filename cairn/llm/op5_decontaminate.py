@@ -169,23 +169,49 @@ def report(hits: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents with every hit run of words, and the separators inside it, cut out of the text."""
-    hits = scan(spark, documents, benchmark, **kw).select(F.col("doc_id").alias("_hit_id"), "hit_from", "hit_to").filter(F.size("hit_from") > 0)
-
-    @F.udf("string")
-    def cut(text, a, b):
-        if not a:
-            return text
-        at = [m.span() for m in _WORD.finditer(text.encode().translate(_UPPER))]
-        raw, pos, out = text.encode(), 0, []
-        for i, j in zip(a, b, strict=True):
-            out.append(raw[pos : at[i][0]])
-            pos = at[j - 1][1]
-        return b"".join([*out, raw[pos:]]).decode()
-
-    joined = documents.join(hits, documents["doc_id"].cast("long") == hits["_hit_id"], "left")
-    return joined.withColumn("text", cut("text", "hit_from", "hit_to")).select(*[F.col(c) for c in documents.columns])
+def _cutter(bc, carry: bool, last: bool):
+    """Adds the hit words' byte ranges to whole rows (``_hits``: from, to, from, ...), or at last cuts them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: Grams = bc.value
+        bitmaps = {k: grams.bitmap(k) for k in grams.sets}
+        for b in textbuf.blocks(batches):
+            data, offsets = textbuf.buffers(b.column("text"))
+            _, spans, _ = scan_block(data, offsets, grams, bitmaps)
+            if carry:
+                for d, flat in enumerate(b.column("_hits").to_pylist()):
+                    spans[d] += zip(flat[::2], flat[1::2], strict=True)
+                b = b.drop_columns(["_hits"])
+            spans = [merge(s) if s else s for s in spans]
+            if not last:
+                yield b.append_column("_hits", pa.array([[x for s in q for x in s] for q in spans], pa.list_(pa.int32())))
+                continue
+            if any(spans):
+                texts = b.column("text").to_pylist()
+                for d in [d for d, q in enumerate(spans) if q]:
+                    raw = texts[d].encode()
+                    at = [m.span() for m in _WORD.finditer(raw.translate(_UPPER))]
+                    cuts = [0, *(x for i, j in spans[d] for x in (at[i][0], at[j - 1][1])), len(raw)]
+                    texts[d] = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
+                i = b.schema.get_field_index("text")
+                b = b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
+            yield b
+
+    return run
+
+
+def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The documents with every hit run of words, and the separators inside it, cut out of the text; all else stays."""
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+    schema = documents.schema
+    wide = StructType([*schema.fields, StructField("_hits", ArrayType(IntegerType()))])
+    parts = list(benchmark_blocks(benchmark, "item_id", "text", limit))
+    df = textbuf.small_batches(documents)
+    for k, items in enumerate(parts):
+        last = k == len(parts) - 1
+        df = df.mapInArrow(_cutter(spark.sparkContext.broadcast(Grams(items, n)), carry=k > 0, last=last), schema if last else wide)
+    return df
 
 
 def _keeper(bc):

@@ -394,3 +394,21 @@ def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+#: The same rows in DuckDB: all pairs of documents that share a shingle, then everything reachable.
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[i : i + least(5, len(ws)) - 1], ' ') as g from w, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) as u(i) where len(ws) > 0
+), n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from common join n na on na.doc_id = a join n nb on nb.doc_id = b where 5 * k >= 4 * (na.n + nb.n - k)),
+reach as (select doc_id as id, doc_id as seen from documents union select r.id, l.b from reach r join link l on l.a = r.seen),
+cls as (select id, min(seen) as class_id from reach group by id),
+links as (select a as doc_id, count(*) as n_links from link group by a),
+copies as (select array_to_string(ws, ' ') as t, count(*) as n_copies from w where len(ws) > 0 group by 1)
+select w.doc_id, class_id, coalesce(n_links, 0) as n_links, coalesce(n_copies, 1) as n_copies, w.doc_id = class_id as kept
+from w join cls on cls.id = w.doc_id left join links using (doc_id) left join copies on len(ws) > 0 and t = array_to_string(ws, ' ')
+"""

@@ -167,3 +167,28 @@ def redacted(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    """The same rows in DuckDB: between two matches of a rule lies a piece of the text split at its matches."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for k, r in enumerate(RULES):
+        head = f"(?i:{r.head})" if r.fold_head else r.head
+        body = "[0-9a-f]+" if r.name == "hex" else r.pattern
+        tail = f"length(m[i]) - length(regexp_extract(m[i], {quoted('^' + head)}))" if r.head else "length(m[i])"
+        parts.append(
+            f"select doc_id, {k} as k, '{r.name}' as kind, list_sum(list_transform(p[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) as s, length(m[i]) as n "
+            f"from (select doc_id, regexp_extract_all(t, {quoted(head + body)}) as m, string_split_regex(t, {quoted(head + body)}) as p from d), unnest(range(1, len(m) + 1)) as u(i) where {tail} >= {r.least}"
+        )
+    count = ", ".join(f"count(*) filter (where k = {k}) as n_{r.name}" for k, r in enumerate(BASE))
+    zero = ", ".join(f"coalesce(n_{r.name}, 0) as n_{r.name}" for r in BASE)
+    label = "kind || ':' || s::bigint || ':' || (s + n)::bigint"
+    return (
+        "with d as (select doc_id, coalesce(text, '') as t from documents), f as (" + " union all ".join(parts) + f"), "
+        f"g as (select doc_id, {count}, string_agg({label}, ',' order by s, k) filter (where k < {len(BASE)}) as base, string_agg({label}, ',' order by s, k) as spans from f group by doc_id) "
+        f"select d.doc_id, {zero}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"
+    )
+
+
+OP9_SQL = _sql()

@@ -29,4 +29,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_shard": _op2.OP2_SQL,
     "op5_decontaminate": _op5.OP5_SQL,
+    "op8_jaccard_join": _op8.OP8_SQL,
+    "op9_secrets": _op9.OP9_SQL,
 }
