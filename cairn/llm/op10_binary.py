@@ -41,6 +41,7 @@ END_ID = 2
 MAGIC = b"cairnid1"
 ROWS_PER_SHARD = 4096
 BLOCK_BYTES = 4 << 20
+KEPT_UNITS = 500_000
 GAMMA = 2.0
 LEVELS = 40
 
@@ -208,7 +209,7 @@ def unit_encoder(path: str) -> UnitEncoder:
         tokenizer = op7_tokens.load(path)
         starts = np.zeros(tokenizer.get_vocab_size(), bool)
         starts[[i for token, i in tokenizer.get_vocab().items() if token.startswith(_SPACE)]] = True
-        _encoders[path] = UnitEncoder(lambda units: joined(tokenizer, starts, units, _simple), op7_tokens.safe_cuts)
+        _encoders[path] = UnitEncoder(lambda units: joined(tokenizer, starts, units, _simple), op7_tokens.safe_cuts, KEPT_UNITS)
     return _encoders[path]
 
 
