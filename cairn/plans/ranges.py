@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list[int]:
-    """Ascending bounds that part the keys into buckets of about ``rows_per_bucket`` rows."""
+#: More buckets than this would make the list of bounds, which is part of the plan, too long; buckets grow instead.
+MOST = 20_000
+
+
+def bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = MOST) -> list[int]:
+    """Ascending bounds that part the keys into buckets of about ``rows_per_bucket`` rows, or into ``most`` larger ones."""
     n = df.select(key).count()
-    k = -(-n // rows_per_bucket)
+    k = min(-(-n // rows_per_bucket), most)
     if k < 2:
         return []
     fractions = [i / k for i in range(1, k)]
-    got = df.agg(F.percentile_approx(key, fractions, 20 * k)).first()[0]
+    got = df.agg(F.percentile_approx(key, fractions, min(20 * k, 200_000))).first()[0]
     return sorted(set(got or []))
 
 
@@ -22,7 +26,7 @@ def bucket(key: Column, ends: list[int]) -> Column:
     if not ends:
         return F.lit(0)
     steps = [1 << i for i in range(len(ends).bit_length() - 1, -1, -1)]
-    table = F.array(*[F.lit(x).cast("long") for x in ends])
+    table = F.expr("array(" + ", ".join(f"{int(x)}L" for x in ends) + ")")
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),

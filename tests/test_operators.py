@@ -94,10 +94,11 @@ def test_components_of_a_long_path_and_a_hub(spark):
 
 
 def test_range_buckets(spark):
-    df = spark.range(1000).selectExpr("id * 7 as k")
+    df = spark.range(1000).selectExpr("(id - 500) * 7 as k")
     ends = ranges.bounds(df, "k", 100)
     counts = [r["count"] for r in df.groupBy(ranges.bucket(F.col("k"), ends).alias("b")).count().collect()]
     assert len(counts) == len(ends) + 1 == 10 and max(counts) < 130
+    assert len(ranges.bounds(df, "k", 1, most=25)) == 24
     got = df.select("k", ranges.bucket(F.col("k"), ends).alias("b")).collect()
     assert all(r["b"] == int(np.searchsorted(ends, r["k"], "right")) for r in got)
 
