@@ -7,7 +7,8 @@ the item's own words, and the words inside any occurrence are hit.
 
 Scale: the documents are never shuffled.  The benchmark is broadcast in blocks of at most
 ``BLOCK_BYTES`` text bytes, whose sizes are measured first; with several blocks the hits are
-carried along from scan to scan, so a larger benchmark costs further passes, not memory.
+carried along from scan to scan of one plan, so each further block costs a task one more worker
+process with that block's set.
 
 Edge cases: a null or empty text has no words and is never contaminated; null or wordless
 items have no windows; items that repeat (same id, or same text under another id) each count
@@ -146,12 +147,19 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: in
         yield [(r[0], r[1]) for r in part.collect()]
 
 
+def _numbered(blocks):
+    """(number, block, whether it is the last); one block is held at a time besides the next."""
+    k, held = 0, next(blocks)
+    for following in blocks:
+        yield k, held, False
+        k, held = k + 1, following
+    yield k, held, True
+
+
 def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
     """The words of each document that lie in benchmark windows, as merged word ranges, and the items hit."""
     df = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = list(benchmark_blocks(benchmark, item_id, item_text, limit))
-    for k, items in enumerate(parts):
-        last = k == len(parts) - 1
+    for k, items, last in _numbered(benchmark_blocks(benchmark, item_id, item_text, limit)):
         run = _scanner(spark.sparkContext.broadcast(Grams(items, n)), carry=k > 0, keep_text=not last)
         df = textbuf.small_batches(df).mapInArrow(run, SCAN_SCHEMA + ("" if last else ", text string"))
     return df
@@ -206,10 +214,8 @@ def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
 
     schema = documents.schema
     wide = StructType([*schema.fields, StructField("_hits", ArrayType(IntegerType()))])
-    parts = list(benchmark_blocks(benchmark, "item_id", "text", limit))
     df = textbuf.small_batches(documents)
-    for k, items in enumerate(parts):
-        last = k == len(parts) - 1
+    for k, items, last in _numbered(benchmark_blocks(benchmark, "item_id", "text", limit)):
         df = df.mapInArrow(_cutter(spark.sparkContext.broadcast(Grams(items, n)), carry=k > 0, last=last), schema if last else wide)
     return df
 
