@@ -104,6 +104,11 @@ def _grid_knn(s: DataFrame, t: DataFrame, n: int, k: int, below: float | None, i
     if cell is None:
         volume = np.prod([max(x, wide * 1e-3) for x in spans])
         cell = float(max((volume * (k + 1) / n) ** (1 / 3), wide * 1e-6))
+        # points on surfaces fill few of the box's cells
+        held = lambda size: cells(t, size).select("kx", "ky", "kz").distinct().count()
+        used, finer = held(cell), cell / 2
+        while n > (k + 1) * used and finer > wide * 1e-6 and (more := held(finer)) > used:
+            cell, used, finer = finer, more, finer / 2
     want = min(k, n)
     left, done = s, []
     while True:

@@ -136,6 +136,23 @@ def test_alignment_recovers_a_pose(spark, sf):
     assert all(x >= y for x, y in zip(got["dt"][:-1], got["dt"][1:], strict=True))
 
 
+def test_every_part_is_a_facet(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    f = facets(spark, sf)
+    n = f.groupBy("scan_idx", "label").count().collect()
+    assert len(n) == 2 * parts and {r["count"] for r in n} == {36}
+    spots = {(round(r["x"] / 0.2), round(r["y"] / 0.2)) for r in f.filter("scan_idx = 0 and pid = label * 100").collect()}
+    assert len(spots) == parts and max(max(s) for s in spots) <= math.ceil(math.sqrt(parts))
+
+
+def test_nearest_by_cells_equals_brute_force():
+    r = np.random.default_rng(5)
+    for t in (r.normal(size=(500, 3)), np.round(r.normal(size=(500, 3)), 1), r.normal(size=(400, 3)) * [30, 20, 0.01]):
+        q = np.concatenate([t + r.normal(size=t.shape) * 0.1, t[:50], r.normal(size=(20, 3)) * 100])
+        for a, b in zip(alignment.nearest(q, t), alignment.nearest(q, t, brute=0), strict=True):
+            assert (a == b).all()
+
+
 def test_too_few_patches(spark):
     p = table(spark, np.random.default_rng(1).normal(size=(50, 3))).withColumn("k", F.lit(1))
     with pytest.raises(alignment.AlignmentError):
