@@ -20,9 +20,11 @@ shingle).  Two texts are linked if the Jaccard similarity of their sets reaches
 A pair at exactly the threshold shares no band with probability 3e-6, less above it.  The
 cost of step 4 is quadratic only in the different texts of one group of near copies.
 
-Edge cases: texts without words (null, empty, signs only) and rows without an id are classes
-of their own without links; copies link to each other (J = 1) and count; repeated rows count
-as copies; an empty table gives an empty result; extra columns are ignored.
+Edge cases: texts without words (null, empty, signs only) are classes of their own without
+links; copies link to each other (J = 1) and count; repeated rows count as copies; an empty
+table gives an empty result; extra columns are ignored.  A row is known by its id and text (two
+64-bit hashes of both), so rows that share an id, or have none, are linked and removed by
+their own texts; a class without any id has a null ``class_id``.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -230,11 +232,13 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         sh, owner, n_words, k1, k2 = shingles(data, offsets)
         sig = minhash(sh, owner, n)
-        none = (n_words == 0) | b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        none = n_words == 0
         keys = pa.array(k1.view(np.int64), mask=none)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": b.column("doc_id"),
+                "id1": b.column("id1"),
+                "id2": b.column("id2"),
                 "k1": keys,
                 "k2": pa.array(k2.view(np.int64), mask=none),
                 "n_words": pa.array(n_words, pa.int64()),
@@ -307,7 +311,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _grouped(batches, _GROUP, 1 << 14, 2 << 20):
         data, offsets = textbuf.buffers(t.column("text"))
         node = t.column("node").to_numpy()
-        same = shingles(data, offsets)[3].view(np.int64) == node  # another text under a repeated id is not this node
+        same = shingles(data, offsets)[3].view(np.int64) == node  # against equal hashes of different rows
         group = _group_numbers(t, _GROUP)
         fresh = np.ones(len(node), bool)
         fresh[1:] = (node[1:] != node[:-1]) | (group[1:] != group[:-1])
@@ -337,15 +341,22 @@ def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
     return mine.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other")
 
 
-def classes(spark: SparkSession, documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: class_id (the smallest id of its near-duplicate class), n_links (documents
-    that reach the threshold with it), n_copies (documents of equal words, itself included)."""
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = storage.stored(textbuf.small_batches(docs).mapInArrow(_signer, "doc_id long, k1 long, k2 long, n_words long, sig binary, bands array<long>"), "signed")
+def _identity(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """Two 64-bit hashes of a row's id and text; rows that agree in both repeat."""
+    row = [documents[doc_id].cast("long"), documents[doc_id].isNull(), documents[text]]
+    return {"id1": F.xxhash64(*row), "id2": F.xxhash64(F.lit(1), *row)}
+
+
+def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, id1, id2, class_id, n_links, n_copies, and whether it is its class's root
+    (the smallest id, ids before none; of its rows one text)."""
+    docs = documents.select(documents[doc_id].cast("long").alias("doc_id"), documents[text].alias("text"), *[v.alias(k) for k, v in _identity(documents, doc_id, text).items()])
+    signed = storage.stored(textbuf.small_batches(docs).mapInArrow(_signer, "doc_id long, id1 long, id2 long, k1 long, k2 long, n_words long, sig binary, bands array<long>"), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id1", "id2")
     reps = storage.stored(
         signed.filter("k1 is not null")
         .groupBy(F.col("k1").alias("node"), "k2")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        .agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "reps",
     )
     banded = reps.select("node", F.explode("bands").alias("grp"))
@@ -362,7 +373,7 @@ def classes(spark: SparkSession, documents: DataFrame, *, doc_id: str = "doc_id"
     held = held.join(sizes, "grp").drop("n_words")
     n = joined.count()
     side = F.broadcast(held) if n <= SMALL_TABLE // 10 else held
-    texts = docs.join(side, docs["doc_id"] == F.col("rep")).select("grp", "node", "copies", "blocks", "sig", "text")
+    texts = docs.join(side, (docs["id1"] == F.col("rep.id1")) & (docs["id2"] == F.col("rep.id2"))).select("grp", "node", "copies", "blocks", "sig", "text")
     groups = _dealt(texts, "blocks").select(*_GROUP, "blk", "node", "copies", "sig", "text")
     links = storage.stored(groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_verified, "node long, root long, links long"), "links")
 
@@ -370,30 +381,46 @@ def classes(spark: SparkSession, documents: DataFrame, *, doc_id: str = "doc_id"
     parts = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("part"))
     known = reps.select("node", "k2", "rep", "copies").join(parts, "node", "left").join(per_node, "node", "left").withColumn("part", F.coalesce("part", "node"))
     known = storage.stored(known, "known")
-    named = known.groupBy("part").agg(F.min("rep").alias("class_id"))
-    of_class = known.join(named, "part").select(F.col("node").alias("k1"), "k2", "class_id", "copies", "links")
+    named = known.groupBy("part").agg(F.min("rep").alias("root"))
+    of_class = known.join(named, "part").select(F.col("node").alias("k1"), "k2", "root", "copies", "links")
     worded = (
-        signed.filter("k1 is not null").select("doc_id", "k1", "k2").join(of_class, ["k1", "k2"])
-        .select("doc_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+        signed.filter("k1 is not null").select("doc_id", "id1", "id2", "k1", "k2").join(of_class, ["k1", "k2"])
+        .select("doc_id", "id1", "id2", F.col("root.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), ((F.col("id1") == F.col("root.id1")) & (F.col("id2") == F.col("root.id2"))).alias("is_root"))
     )
-    rest = signed.filter("k1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    rest = signed.filter("k1 is null").select("doc_id", "id1", "id2", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("is_root"))
     return worded.unionByName(rest)
 
 
+def classes(spark: SparkSession, documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: class_id (the smallest id of its near-duplicate class), n_links (documents
+    that reach the threshold with it), n_copies (documents of equal words, itself included)."""
+    return _classed(documents, doc_id, text).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """The documents with one of each near-duplicate class (the smallest id); columns stay."""
-    found = storage.stored(classes(spark, documents), "classes")
-    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    if found.filter("doc_id <> class_id").count() <= SMALL_TABLE:
+    """The documents with one of each near-duplicate class (the smallest id); columns stay.
+
+    Rows go by their own id and text; texts without words all stay.
+    """
+    found = storage.stored(_classed(documents), "classes")
+    gone = found.filter("not is_root").select(F.col("id1").alias("_gone1"), F.col("id2").alias("_gone2")).distinct()
+    if found.filter("not is_root").count() <= SMALL_TABLE:
         gone = F.broadcast(gone)
-    out = documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    doubled = found.filter("doc_id = class_id and n_copies > 1").groupBy("doc_id").count().filter("count > 1")
-    return out.dropDuplicates(["doc_id"]) if doubled.limit(1).count() else out
+    own = list(_identity(documents).values())
+    out = documents.join(gone, (own[0] == F.col("_gone1")) & (own[1] == F.col("_gone2")), "left_anti")
+    doubled = storage.stored(found.filter("is_root and n_copies > 1").groupBy(F.col("id1").alias("_twice1"), F.col("id2").alias("_twice2")).count().filter("count > 1").drop("count"), "doubled")
+    n = doubled.count()
+    if not n:
+        return out
+    doubled = F.broadcast(doubled) if n <= SMALL_TABLE else doubled
+    twice = (own[0] == F.col("_twice1")) & (own[1] == F.col("_twice2"))
+    once = out.join(doubled, twice, "left_semi").withColumns({"_own1": own[0], "_own2": own[1]}).dropDuplicates(["_own1", "_own2"]).drop("_own1", "_own2")
+    return out.join(doubled, twice, "left_anti").unionByName(once)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    found = _classed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies", F.coalesce(F.col("doc_id") == F.col("class_id"), "is_root").alias("kept"))
 
 
 #: The same rows in DuckDB: all pairs of documents that share a shingle, then everything reachable.

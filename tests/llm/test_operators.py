@@ -273,6 +273,22 @@ def test_jaccard_join(spark, sf, docs):
     assert kept == {d for d in docs if part[d] == d}
 
 
+def test_duplicates_go_by_row(spark):
+    """Repeated and missing ids: each row is linked and removed by its own text."""
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    near = a + " end"
+    rows = [(1, a), (1, a), (2, near), (None, a), (None, near), (None, b), (None, b), (None, b + " end"), (None, c), (5, d), (5, e), (7, near), (7, "x " + c), (8, ""), (8, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    kept = op8_jaccard.deduplicated(spark, docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    one = [r for r in got if r in ((None, b), (None, b + " end"))]
+    assert len(one) == 1  # one of a class without ids
+    assert sorted([*got, (None, b)], key=repr) == sorted([(1, a), *one, (None, b), (5, d), (5, e), (7, "x " + c), (8, ""), (8, ""), (None, None), (None, None)], key=repr)
+    by = [(r["n_links"], r["n_copies"]) for r in op8_jaccard.classes(spark, docs).filter("doc_id is null").collect()]
+    assert sorted(by) == sorted([(5, 3), (5, 3), (2, 2), (2, 2), (2, 1), (1, 1), (0, 1), (0, 1)])
+
+
 def test_large_group_of_near_copies(spark):
     """More members than a block: links are counted exactly."""
     r = random.Random(3)
