@@ -176,6 +176,36 @@ def test_chain_equals_products(spark):
         assert np.allclose(np.array(row["vcm"]).reshape(6, 6), spread[row["src_idx"]])
 
 
+def test_no_pose_without_a_target(spark):
+    pose = [float(x) for x in np.eye(4).ravel()]
+    pairs = spark.createDataFrame([(2, 1, pose, [0.0] * 36), (3, 2, pose, [0.0] * 36), (4, 0, pose, [0.0] * 36), (5, 4, pose, [0.0] * 36)], "src_idx long, tgt_idx long, t array<double>, vcm array<double>")
+    assert sorted(r["src_idx"] for r in poses.chained(pairs).collect()) == [4, 5]
+
+
+def test_failed_pairs_are_reported(spark, monkeypatch):
+    def register(source, target, *_):
+        if target.first()["x"] == 0:
+            raise alignment.AlignmentError("fewer than four patches")
+        return [float(x) for x in np.eye(4).ravel()], [0.0] * 36, 1.0, [0.1]
+
+    monkeypatch.setattr(series, "_register", register)
+    points = spark.createDataFrame([(k, k, float(k), 0.0, 0.0) for k in range(3)], "scan_idx int, " + POINTS)
+    got = {r["src_idx"]: r for r in series.register_series(points, mode=1, dt_min=0.1, sizes=0.2).collect()}
+    assert got[1]["t"] is None and got[1]["failed"] == "fewer than four patches"
+    assert got[2]["t"] is None and got[2]["failed"].endswith("scan 1")
+
+
+def test_alignment_on_tables(spark, sf, monkeypatch):
+    f = facets(spark, sf).filter("label % 15 < 5 and label < 75").localCheckpoint()
+    s, t = (f.filter(F.col("scan_idx") == k).drop("scan_idx") for k in (1, 0))
+    run = lambda: alignment.align(s, t, "label", dt=0.004, dt_min=0.004, sizes=0.2, rounds=2)
+    want = run()
+    monkeypatch.setattr(alignment, "MOST_PATCHES", 0)
+    got = run()
+    assert np.allclose(got.transform, want.transform, atol=1e-8) and np.allclose(got.vcm, want.vcm, rtol=1e-3, atol=1e-12)
+    assert got.stable_ratio == want.stable_ratio and [h["stage"] for h in got.history] == [h["stage"] for h in want.history]
+
+
 def test_adaptive_targets_never_go_back(spark):
     ratios = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.1), (2, 1, 0.9), (3, 0, 0.99), (3, 1, 0.2), (3, 2, 0.3), (4, 2, 0.9), (4, 3, 0.95)], "src_idx long, tgt_idx long, ratio double")
     assert [tuple(r) for r in poses.adaptive_targets(ratios, 0.8).collect()] == [(1, 0), (2, 1), (3, 2), (4, 2)]
