@@ -11,7 +11,7 @@ carried along from scan to scan of one plan, so each further block costs a task
 process with that block's set.
 
 Edge cases: a null or empty text has no words and is never contaminated; null or wordless
-items have no windows; items that repeat (same id, or same text under another id) each count
+texts of items have no windows; items without an id are together one item, unnamed in the digest; items that repeat (same id, or same text under another id) each count
 by id; an empty benchmark hits nothing; extra columns of either table are ignored.
 """
 
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import textbuf
 
@@ -43,8 +44,8 @@ def normalised(text: str | None) -> list[bytes]:
 class Grams:
     """The windows of some benchmark items, by window length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int = N):
-        owners: dict[tuple[bytes, ...], set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int = N):
+        owners: dict[tuple[bytes, ...], set[str | None]] = {}
         for item, text in items:
             w = normalised(text)
             k = min(n, len(w))
@@ -127,7 +128,7 @@ def _scanner(bc, carry: bool, keep_text: bool):
                 pa.array(n_words, pa.int64()),
                 pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int32())),
                 pa.array([[e for _, e in s] for s in spans], pa.list_(pa.int32())),
-                pa.array([sorted(f) for f in found], pa.list_(pa.string())),
+                pa.array([sorted(f, key=lambda i: (i is None, i or "")) for f in found], pa.list_(pa.string())),
             ]
             names = ["doc_id", "n_words", "hit_from", "hit_to", "items"]
             if keep_text:
@@ -139,7 +140,7 @@ def _scanner(bc, carry: bool, keep_text: bool):
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
     """The items in blocks of about ``limit`` bytes of text, measured before anything is collected."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null and item is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // limit))
     for k in range(n):
@@ -210,8 +211,6 @@ def _cutter(bc, carry: bool, last: bool):
 
 def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every hit run of words, and the separators inside it, cut out of the text; all else stays."""
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
     schema = documents.schema
     wide = StructType([*schema.fields, StructField("_hits", ArrayType(IntegerType()))])
     df = textbuf.small_batches(documents)
@@ -220,13 +219,23 @@ def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
     return df
 
 
-def _keeper(bc):
+def _keeper(bc, carry: bool, last: bool):
+    """Adds the hit word ranges to whole rows (``_hits``, as in ``_cutter``), or at last keeps the rows that are clean."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: Grams = bc.value
         bitmaps = {k: grams.bitmap(k) for k in grams.sets}
         for b in textbuf.blocks(batches):
             n_words, spans, _ = scan_block(*textbuf.buffers(b.column("text")), grams, bitmaps)
-            n_hit = [sum(e - a for a, e in merge(s)) if s else 0 for s in spans]
+            if carry:
+                for d, flat in enumerate(b.column("_hits").to_pylist()):
+                    spans[d] += zip(flat[::2], flat[1::2], strict=True)
+                b = b.drop_columns(["_hits"])
+            spans = [merge(s) if s else s for s in spans]
+            if not last:
+                yield b.append_column("_hits", pa.array([[x for s in q for x in s] for q in spans], pa.list_(pa.int32())))
+                continue
+            n_hit = [sum(e - a for a, e in s) for s in spans]
             yield b.filter(pa.array([not (hit > 0 and 20 * hit >= n) for hit, n in zip(n_hit, n_words.tolist(), strict=True)], pa.bool_()))
 
     return run
@@ -235,15 +244,14 @@ def _keeper(bc):
 def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the contaminated ones; all columns stay.
 
-    Rows are filtered as they are scanned.  A benchmark of several blocks gives its verdicts beside
-    the rows, joined by document id.
+    Rows are filtered as they are scanned; with a benchmark of several blocks they carry their hits to the last scan.
     """
-    parts = benchmark_blocks(benchmark, "item_id", "text", limit)
-    first = next(parts)
-    if next(parts, None) is None:
-        return textbuf.small_batches(documents).mapInArrow(_keeper(spark.sparkContext.broadcast(Grams(first, n))), documents.schema)
-    bad = report(scan(spark, documents, benchmark, n=n, limit=limit)).filter("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return documents.join(bad, documents["doc_id"].cast("long") == bad["_bad_id"], "left_anti")
+    schema = documents.schema
+    wide = StructType([*schema.fields, StructField("_hits", ArrayType(IntegerType()))])
+    df = textbuf.small_batches(documents)
+    for k, items, last in _numbered(benchmark_blocks(benchmark, "item_id", "text", limit)):
+        df = df.mapInArrow(_keeper(spark.sparkContext.broadcast(Grams(items, n)), carry=k > 0, last=last), schema if last else wide)
+    return df
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

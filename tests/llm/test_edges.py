@@ -79,3 +79,17 @@ def test_one_row_is_its_own_next(spark):
     docs = spark.createDataFrame([(5, "a text of a few words")], "doc_id long, text string")
     r = run("op3", spark, docs).first()
     assert r["near_next"] == 1.0
+
+
+def test_decontamination_goes_by_row(spark):
+    """Missing and shared ids, and items without an id, whatever the size of the benchmark."""
+    passages = [" ".join(f"{k}{i}" for i in range(20)) for k in "abc"]
+    bench = spark.createDataFrame([(0, passages[0]), (None, passages[1]), (2, passages[2])], BENCHMARK)
+    rows = [(None, passages[0]), (None, "clean text"), (7, passages[1]), (7, "another clean text"), (8, passages[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (16 << 20, 50):
+        kept = op5_decontaminate.decontaminate(spark, docs, bench, limit=limit)
+        assert kept.columns == docs.columns
+        assert sorted(r["text"] for r in kept.collect()) == ["another clean text", "clean text"]
+        found = op5_decontaminate.report(op5_decontaminate.scan(spark, docs, bench, limit=limit)).collect()
+        assert sorted((r["doc_id"] or 0, r["n_hit"], r["n_items"]) for r in found) == [(0, 0, 0), (0, 20, 1), (7, 0, 0), (7, 20, 1), (8, 20, 1)]
