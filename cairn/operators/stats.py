@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BRACKET = 10_000
+
 
 def percentile_element(df: DataFrame, value: str, p: float, keys: list[str] | None = None, name: str = "value") -> DataFrame:
     """sorted[floor(n * p)] of each group (the last element for p = 1); nulls are ignored.
 
     With keys, ranks are taken within each group.  Without, two approximate quantiles
-    bracket the rank, one pass counts what lies below, and only the bracket is sorted.
+    bracket the rank and one pass counts what lies below, until at most ``BRACKET`` rows or few
+    distinct values are left; only these, counted per value first, are sorted in one task.
     """
     rows = df.filter(F.col(value).isNotNull())
     if keys:
@@ -24,20 +27,24 @@ def percentile_element(df: DataFrame, value: str, p: float, keys: list[str] | No
         ranked = rows.select(*keys, value, (F.row_number().over(order) - 1).alias("_r"), F.count(F.lit(1)).over(whole).alias("_n"))
         return ranked.filter(F.col("_r") == F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)).select(*keys, F.col(value).alias(name))
     n = rows.count()
-    spark = df.sparkSession
+    kind = df.schema[value].dataType.simpleString()
     if not n:
-        return spark.createDataFrame([], f"{name} {df.schema[value].dataType.simpleString()}")
-    rank = min(int(n * p), n - 1)
-    low, high = 0, n - 1
-    if n > 10_000:
-        error = 0.001
-        a, b = rows.approxQuantile(value, [max(0.0, rank / n - 2 * error), min(1.0, rank / n + 2 * error)], error)
+        return df.sparkSession.createDataFrame([], f"{name} {kind}")
+    rank, error = min(int(n * p), n - 1), 0.001
+    tally, before = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), 0
+    while n > BRACKET and error < 1:
+        a, b = rows.approxQuantile(value, [max(0.0, (rank - before) / n - 2 * error), min(1.0, (rank - before) / n + 2 * error)], error)
+        part = rows.filter(F.col(value).between(a, b))
         below, inside = rows.agg(F.count_if(F.col(value) < a), F.count_if(F.col(value).between(a, b))).first()
-        if below <= rank < below + inside:
-            rows, low, high = rows.filter(F.col(value).between(a, b)), below, below + inside - 1
-    order = Window.orderBy(value)
-    found = rows.select(F.col(value).alias(name), (F.row_number().over(order) - 1 + low).alias("_r")).filter(F.col("_r") == rank)
-    return found.select(name)
+        if not before + below <= rank < before + below + inside:
+            error *= 4  # missed: a wider bracket
+            continue
+        rows, tally, before = part, part.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), before + below
+        if a == b or inside > 0.9 * n:  # one value, or ties that no bracket parts: few distinct values are left
+            break
+        n = inside
+    upto = F.sum("_c").over(Window.orderBy("_v"))
+    return tally.withColumn("_upto", upto + before).filter(F.col("_upto") > rank).agg(F.min("_v").alias(name))
 
 
 def upper_median(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "median") -> DataFrame:

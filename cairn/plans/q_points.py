@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import voxels
+from ..operators.order import numbered
 from ..operators.stats import top_k
 from .registry import EV, LI, PTS, ev, li, pts, query, r, rounded, table
 
@@ -129,8 +130,8 @@ def clamp(spark, sf):
 
 @query("order_along_direction", f"with {PTS} select pid, row_number() over (order by x * 0.6 + y * 0.8 - z * 0.1, pid) - 1 as along, row_number() over (order by z, pid) - 1 as by_z from pts")
 def order_along_direction(spark, sf):
-    p = pts(spark, sf)
-    return p.select("pid", (F.row_number().over(Window.orderBy(F.col("x") * 0.6 + F.col("y") * 0.8 - F.col("z") * 0.1, "pid")) - 1).alias("along"), (F.row_number().over(Window.orderBy("z", "pid")) - 1).alias("by_z"))
+    p = pts(spark, sf).withColumn("a", F.col("x") * 0.6 + F.col("y") * 0.8 - F.col("z") * 0.1)
+    return numbered(numbered(p, ["a", "pid"], "along"), ["z", "pid"], "by_z").select("pid", "along", "by_z")
 
 
 @query("lexicographic_compare", f"with {PTS} select a.pid, (a.x, a.y, a.z) < (b.x, b.y, b.z) as less, (a.x, a.y, a.z) <= (b.x, b.y, b.z) as at_most, (a.x, a.y, a.z) = (b.x, b.y, b.z) as same from pts a join pts b on b.pid = a.pid + 1")
@@ -151,7 +152,7 @@ def approximate_equality(spark, sf):
 
 @query("argsort", f"with {PTS} select pid, row_number() over (order by x, pid) - 1 as place from pts")
 def argsort(spark, sf):
-    return pts(spark, sf).select("pid", (F.row_number().over(Window.orderBy("x", "pid")) - 1).alias("place"))
+    return numbered(pts(spark, sf), ["x", "pid"], "place").select("pid", "place")
 
 
 @query("sort_scans", f"with {EV} select epoch, row_number() over (order by epoch) - 1 as scan_idx, n from (select epoch, count(*) as n from ev group by epoch)")

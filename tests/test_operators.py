@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import geometry as g
-from cairn.operators import alignment, filters, matrices, neighbours, normals, patches, poses, series, stats, supervoxels
+from cairn.operators import alignment, filters, matrices, neighbours, normals, order, patches, poses, series, stats, supervoxels
 from cairn.operators.graph import connected_components
-from cairn.plans import ranges
+from cairn.plans import ranges, storage
 from cairn.plans.q_cluster import facets
 from cairn.sources import config, pcd, text
 
@@ -196,7 +196,7 @@ def test_failed_pairs_are_reported(spark, monkeypatch):
 
 
 def test_alignment_on_tables(spark, sf, monkeypatch):
-    f = facets(spark, sf).filter("label % 15 < 5 and label < 75").localCheckpoint()
+    f = storage.stored(facets(spark, sf).filter("label % 15 < 5 and label < 75"))
     s, t = (f.filter(F.col("scan_idx") == k).drop("scan_idx") for k in (1, 0))
     run = lambda: alignment.align(s, t, "label", dt=0.004, dt_min=0.004, sizes=0.2, rounds=2)
     want = run()
@@ -221,14 +221,94 @@ def test_euler_angles_at_the_poles(spark):
         assert np.allclose(list(row), c, atol=1e-9)
 
 
+def _plain_supervoxels(xyz, nrm, near, size, groups):
+    """The rounds of ``supervoxels.merged`` and ``supervoxels.settled`` over all pairs."""
+    n = len(xyz)
+    far = 1 - np.abs(nrm @ nrm.T) + 0.4 * np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)) / size
+    touching = {(i, j) for i in range(n) for j in near[i]} | {(j, i) for i in range(n) for j in near[i]}
+    weight, into = {i: 1 for i in range(n)}, {}
+    price = max(float(np.sort([min(far[i, j] for j in near[i]) for i in range(n)])[n // 2]), 1e-12)
+    while len(weight) > groups:
+        asked = {}
+        for a, b in touching:
+            asked[b] = min(asked.get(b, (math.inf, -1)), (weight[b] * far[a, b], a))
+        if not asked:
+            break
+        least = min(asked.values())[0]
+        if least >= price:
+            price *= 2.0 ** max(1, math.floor(math.log2(least / price)) + 1)
+        cheap = {b: x for b, x in asked.items() if x[0] < price}
+        ahead = {b: (d, a) for b, (d, a) in cheap.items() if a not in cheap or (d, b) < (cheap[a][0], a)}
+        granted = sorted((d, b, a) for b, (d, a) in ahead.items() if a not in ahead)[: len(weight) - groups]
+        if len(granted) < 0.1 * len(weight):
+            price *= 2
+        for _, b, a in granted:
+            into[b] = a
+        for _, b, a in granted:
+            weight[a] += weight.pop(b)
+        touching = {(into.get(a, a) if a not in weight else a, into.get(b, b) if b not in weight else b) for a, b in touching}
+        touching = {(a, b) for a, b in touching if a != b}
+
+    def end(i):
+        return end(into[i]) if i in into else i
+
+    label = np.array([end(i) for i in range(n)])
+    merged, fresh = label.copy(), set(range(n))
+    while fresh:
+        moves = {}
+        for i in range(n):
+            best = min(((far[label[j], i], label[j]) for j in near[i] if j in fresh), default=(math.inf, -1))
+            if best[0] < far[label[i], i]:
+                moves[i] = best[1]
+        for i, to in moves.items():
+            label[i] = to
+        fresh = set(moves)
+    return merged, label
+
+
+def test_supervoxels_against_all_pairs(spark):
+    r = np.random.default_rng(4)
+    xyz = np.vstack([r.normal(size=(70, 3)) * 0.1, r.normal(size=(50, 3)) * [0.3, 0.3, 0.01] + 5])  # unconnected
+    p = table(spark, xyz)
+    held, near = supervoxels.oriented(p, 8)
+    at = {x["pid"]: [x["nx"], x["ny"], x["nz"]] for x in held.collect()}
+    nrm = np.array([at[i] for i in range(len(xyz))])
+    beside = [[] for _ in xyz]
+    for x in near.collect():
+        beside[x["pid"]].append(x["nbr_id"])
+    for size, groups in ((0.3, 12), (0.3, 1)):
+        merged, label = _plain_supervoxels(xyz, nrm, beside, size, groups)
+        found = storage.stored(supervoxels.merged(held, near, size, groups))
+        assert {x["pid"]: x["sv_id"] for x in found.collect()} == dict(enumerate(merged.tolist()))
+        assert len(set(merged.tolist())) == max(2, groups)  # the two parts do not connect
+        assert {x["pid"]: x["sv_id"] for x in supervoxels.settled(held, near, found, size).collect()} == dict(enumerate(label.tolist()))
+
+
 def test_supervoxels_are_a_partition(spark):
     r = np.random.default_rng(4)
     xyz = np.vstack([r.normal(size=(60, 3)) * 0.1, r.normal(size=(60, 3)) * 0.1 + 5])  # unconnected
-    p = table(spark, xyz).withColumn("scan_id", F.lit(0))
-    got = supervoxels.fused(p, 1.0, k=8).collect()
+    got = supervoxels.fused(table(spark, xyz), 1.0, k=8).collect()
     label = {x["pid"]: x["sv_id"] for x in got}
     assert len(label) == 120 and not {label[i] for i in range(60)} & {label[i] for i in range(60, 120)}
     assert sorted(set(label.values())) == list(range(len(set(label.values()))))
+    assert not supervoxels.fused(table(spark, np.zeros((0, 3))), 1.0).count()
+    assert len({x["sv_id"] for x in supervoxels.fused(table(spark, np.ones((5, 3))), 1.0).collect()}) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_numbers_without_gaps(spark, n):
+    rows = spark.range(n).select(F.col("id").alias("pid"), F.expr("id % 3").alias("v"))
+    got = sorted((x["place"], x["v"], x["pid"]) for x in order.numbered(rows, ["v", F.desc("pid")], "place").collect())
+    want = sorted(((i % 3, i) for i in range(n)), key=lambda x: (x[0], -x[1]))
+    assert got == [(k, *x) for k, x in enumerate(want)]
+
+
+def test_percentiles_of_ties(spark):
+    for expr in ("id % 3", "0", "id", "case when id < 29000 then 7 else id end"):
+        rows = spark.range(30_000).select(F.expr(expr).cast("double").alias("v"))
+        values = np.sort([x["v"] for x in rows.collect()])
+        for p in (0.0, 0.5, 0.75, 1.0):
+            assert [x["value"] for x in stats.percentile_element(rows, "v", p).collect()] == [values[min(int(30_000 * p), 29_999)]]
 
 
 def test_outliers(spark):
