@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import filters, neighbours, normals, stats, voxels
 from . import storage
-from .registry import D2, PTS, SRC_TGT, eigen_sql, halves, knn_sql, moments_sql, normal_sql, pts, query, r, rounded
+from .registry import D2, PTS, SRC_TGT, eigen_sql, two_scans, knn_sql, moments_sql, normal_sql, pts, query, r, rounded
 
 
 def _d2():
@@ -32,7 +32,7 @@ def knn_self_join_grid(spark, sf):
 
 @query("nn_join", f"with {SRC_TGT}, {knn_sql('src', 'tgt', 1)} select pid, nbr_id, {r('d2', 'd2', 9)} from knn")
 def nn_join(spark, sf):
-    s, t = halves(spark, sf)
+    s, t = two_scans(spark, sf)
     return neighbours.nn_join(s, t).select("pid", "nbr_id", _d2())
 
 
@@ -95,13 +95,13 @@ def preprocess(spark, sf):
 
 @query("overlap_ratio", f"with {SRC_TGT}, {knn_sql('src', 'tgt', 1)} select {r('avg((sqrt(d2) < 0.05)::int)', 'ratio')} from knn")
 def overlap_ratio(spark, sf):
-    s, t = halves(spark, sf)
+    s, t = two_scans(spark, sf)
     return neighbours.nn_join(s, t).agg(rounded(F.avg((F.sqrt("d2") < 0.05).cast("int"))).alias("ratio"))
 
 
 @query("percentile_distance", f"with {SRC_TGT}, {knn_sql('src', 'tgt', 1)}, o as (select sqrt(d2) as d, row_number() over (order by d2) - 1 as k, count(*) over () as n from knn) select {r('d', 'd75', 9)} from o where k = floor(n * 0.75)")
 def percentile_distance(spark, sf):
-    s, t = halves(spark, sf)
+    s, t = two_scans(spark, sf)
     d = neighbours.nn_join(s, t).select(F.sqrt("d2").alias("d"))
     return stats.percentile_element(d, "d", 0.75, name="d75").select(rounded("d75", 9).alias("d75"))
 

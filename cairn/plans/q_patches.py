@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, classify, neighbours, normals, patches
 from . import storage
-from .registry import PTS, SRC_TGT, eigen_sql, halves, knn_sql, moments_sql, normal_sql, pts, query, r, rounded
+from .registry import PTS, SRC_TGT, eigen_sql, two_scans, knn_sql, moments_sql, normal_sql, pts, query, r, rounded
 
 _EIG = f"with {PTS}, {moments_sql('pts', 'label')}, {eigen_sql('mom')}"
 
@@ -56,7 +56,7 @@ def patch_boundary_points(spark, sf):
 
 
 def _two(spark, sf):
-    s, t = halves(spark, sf)
+    s, t = two_scans(spark, sf)
     return storage.stored(patches.table(s, ["label"]), "source"), storage.stored(patches.table(t, ["label"]), "target")
 
 
@@ -99,8 +99,8 @@ def stable_ratio(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Points of odd number with the nearest of even number and the normal of its patch."""
-    s, t = halves(spark, sf)
+    """Source points with the nearest target point and the normal of its patch."""
+    s, t = two_scans(spark, sf)
     plane = normals.planes(t, ["label"]).select("label", "nx", "ny", "nz")
     target = t.join(plane, "label").select(F.col("pid").alias("nbr_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "nx", "ny", "nz")
     near = neighbours.nn_join(s, t).join(s.select("pid", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz")), "pid")

@@ -9,7 +9,7 @@ from ..functions import geometry as g
 from ..operators import voxels
 from ..operators.order import numbered
 from ..operators.stats import top_k
-from .registry import EV, LI, PTS, ev, li, pts, query, r, rounded, table
+from .registry import EV, LI, PTS, TGT, ev, li, pts, query, r, rounded, table, two_scans
 
 def _xyz(*extra):
     return [*extra, *[rounded(c).alias(c) for c in "xyz"]]
@@ -18,10 +18,11 @@ def _xyz(*extra):
 _RXYZ = ", ".join(r(c, c) for c in "xyz")
 
 
-@query("center_cloud", f"with {PTS}, c as (select avg(x) as cx, avg(y) as cy, avg(z) as cz from pts where pid % 2 = 0) select pid, {r('x - cx', 'x')}, {r('y - cy', 'y')}, {r('z - cz', 'z')} from pts, c")
+@query("center_cloud", f"with {PTS}, {TGT}, c as (select avg(x) as cx, avg(y) as cy, avg(z) as cz from tgt) select pid, {r('x - cx', 'x')}, {r('y - cy', 'y')}, {r('z - cz', 'z')} from pts, c")
 def center_cloud(spark, sf):
-    p = pts(spark, sf)
-    centre = F.broadcast(p.filter("pid % 2 = 0").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"]))  # one row
+    """Points about the centroid of the target scan."""
+    p, target = two_scans(spark, sf)
+    centre = F.broadcast(target.agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"]))  # one row
     return p.crossJoin(centre).select("pid", *[rounded(F.col(c) - F.col(f"c{c}")).alias(c) for c in "xyz"])
 
 

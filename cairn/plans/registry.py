@@ -36,10 +36,10 @@ def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("pid"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
 
 
-def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(source, target): points of odd and of even number."""
-    p = pts(spark, sf_dir)
-    return p.filter("pid % 2 = 1"), p.filter("pid % 2 = 0")
+def two_scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(source, target): all embeddings as points twice, by their first three coordinates and by the next three."""
+    e = table(spark, sf_dir, "embeddings")
+    return pts(spark, sf_dir), e.select(F.col("vec_id").alias("pid"), "label", *[F.col("embedding")[i + 3].cast("double").alias(c) for i, c in enumerate("xyz")])
 
 
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PTS = "pts as (select vec_id as pid, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings)"
-SRC_TGT = PTS + ", src as (select * from pts where pid % 2 = 1), tgt as (select * from pts where pid % 2 = 0)"
+TGT = "tgt as (select vec_id as pid, label, embedding[4]::double as x, embedding[5]::double as y, embedding[6]::double as z from embeddings)"
+SRC_TGT = f"{PTS}, src as (select * from pts), {TGT}"
 VECS = "vecs as (select vec_id as pid, embedding::double[] as v from embeddings)"
 LI = "li as (select l_quantity as x, l_extendedprice / 1000 as y, l_discount * 100 as z, l_returnflag, l_linestatus from lineitem)"
 EV = "ev as (select event_id, date_diff('day', date '1970-01-01', ts::date)::bigint as epoch, event_type, value as x, user_id::double as y, hour(ts)::double as z from events)"
