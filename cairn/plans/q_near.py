@@ -139,9 +139,14 @@ def oriented_normals(spark, sf):
     return normals.oriented_normals(p, 45).select("pid", "n", *[rounded(f"n{c}", 5).alias(f"n{c}") for c in "xyz"])
 
 
+def _once(sql: str, name: str) -> str:
+    """The CTE of that name, used more than once, is computed once."""
+    return sql.replace(f"{name} as (", f"{name} as materialized (")
+
+
 @query(
     "neighbour_patch_metric",
-    f"with {PTS}, {_NBR}, {moments_sql('nb', 'pid')}, {eigen_sql('mom')}, {normal_sql('eig')}, e as (select k.pid, k.nbr_id, k.d2, 1 - abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) as t from knn k join nrm a on a.pid = k.pid join nrm b on b.pid = k.nbr_id where k.rank between 2 and 6) "
+    f"with {PTS}, {_once(_NBR, 'knn')}, {moments_sql('nb', 'pid')}, {eigen_sql('mom')}, {_once(normal_sql('eig'), 'nrm')}, e as (select k.pid, k.nbr_id, k.d2, 1 - abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) as t from knn k join nrm a on a.pid = k.pid join nrm b on b.pid = k.nbr_id where k.rank between 2 and 6) "
     f"select pid, nbr_id, {r('t + 0.4 * sqrt(d2) / 0.05', 'patch_metric', 5)}, {r('t + 0.5 * sqrt(d2) / 0.2', 'seed_metric', 5)} from e",
 )
 def neighbour_patch_metric(spark, sf):
