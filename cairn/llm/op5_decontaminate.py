@@ -2,8 +2,9 @@
 
 Every benchmark item gives its windows of 13 consecutive normalised words (a shorter item
 gives one window).  The windows' 64-bit hashes form a sorted set behind a bitmap; documents
-are scanned once in Arrow batches, every candidate position is verified word by word against
-the item's own words, and the words inside any occurrence are hit.
+are scanned once in Arrow batches, every candidate position is verified byte by byte against
+the item's own words, and the words inside any occurrence are hit.  The set is flat arrays of
+about 20 bytes a window, built a megabyte of text at a time.
 
 Scale: the documents are never shuffled.  The benchmark is broadcast in blocks of at most
 ``BLOCK_BYTES`` text bytes, whose sizes are measured first; with several blocks the hits are
@@ -11,8 +12,11 @@ carried along from scan to scan of one plan, so each further block costs a task
 process with that block's set.
 
 Edge cases: a null or empty text has no words and is never contaminated; null or wordless
-texts of items have no windows; items without an id are together one item, unnamed in the digest; items that repeat (same id, or same text under another id) each count
-by id; an empty benchmark hits nothing; extra columns of either table are ignored.
+texts of items have no windows; items without an id are together one item, unnamed in the digest;
+items that repeat (same id, or same text under another id) each count by id; an empty benchmark
+hits nothing; an empty table of documents gives an empty result; repeated rows are judged one by
+one; a very long text is a block of its own (about 30 times its bytes); extra columns of either
+table are ignored by ``scan`` and passed through, whatever their names, by the other two.
 """
 
 from __future__ import annotations
@@ -41,33 +45,63 @@ def normalised(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().translate(_UPPER))
 
 
+BUILD_BYTES = 1 << 18
+_GAP = 0x20
+
+
 class Grams:
-    """The windows of some benchmark items, by window length."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int = N):
-        owners: dict[tuple[bytes, ...], set[str | None]] = {}
-        for item, text in items:
-            w = normalised(text)
-            k = min(n, len(w))
-            for i in range(len(w) - k + 1 if k else 0):
-                owners.setdefault(tuple(w[i : i + k]), set()).add(item)
-        self.by_length: dict[int, dict[int, list[tuple[tuple[bytes, ...], frozenset[str]]]]] = {}
-        for gram, ids in owners.items():
-            self.by_length.setdefault(len(gram), {}).setdefault(_gram_hash(gram), []).append((gram, frozenset(ids)))
-        self.sets = {k: np.sort(np.fromiter(d, np.uint64, len(d))) for k, d in self.by_length.items()}
+    """The windows of some benchmark items, by window length, in flat arrays.
+
+    ``text`` holds the items' lower-cased words with one space between them, so that a window is a run of its bytes.
+    Of each length there are, ordered by hash, the distinct windows of every item: hash, start and size in
+    ``text``, and the item's number: 20 bytes a window besides the text.
+    """
+
+    def __init__(self, items: pa.Table, n: int = N):
+        names: dict[str | None, int] = {}
+        numbers = np.fromiter((names.setdefault(i, len(names)) for i in items.column("item").to_pylist()), np.int32, items.num_rows)
+        self.names = list(names)
+        kept: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        text, base, row = [], 0, 0
+        for batch in items.combine_chunks().to_batches():
+            for b in textbuf.blocks(iter([batch]), limit=BUILD_BYTES):
+                data, offsets = textbuf.buffers(b.column("text"))
+                starts, ends, doc, h = textbuf.words(data, offsets)
+                size = ends - starts
+                plain = np.full(int(size.sum()) + len(size), _GAP, np.uint8)
+                place = np.cumsum(size + 1) - (size + 1)
+                plain[textbuf.ragged(place, size)] = textbuf.LOWER[data[textbuf.ragged(starts, size)]]
+                first = textbuf.per_doc(doc, len(offsets) - 1)
+                words = np.diff(first)
+                for k in np.unique(np.minimum(words, n)[words > 0]).tolist():
+                    w = textbuf.window_hash(h, k)
+                    at = np.arange(len(w))
+                    at = at[(doc[at] == doc[at + k - 1]) & (np.minimum(words, n)[doc[at]] == k)]
+                    part = (w[at], (place[at] + base).astype(np.int32 if items.nbytes < 1 << 30 else np.int64), (place[at + k - 1] + size[at + k - 1] - place[at]).astype(np.int32), numbers[row + doc[at]])
+                    kept.setdefault(k, []).append(part)
+                text.append(plain)
+                base += len(plain)
+                row += b.num_rows
+        self.text = np.concatenate(text) if text else np.zeros(0, np.uint8)
+        self.sets: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted(kept):
+            columns = [np.concatenate(c) for c in zip(*kept.pop(k), strict=True)]
+            order = np.lexsort((columns[3], columns[0]))
+            columns = [c[order] for c in columns]
+            fresh = np.ones(len(order), bool)  # a window that an item repeats is held once, unless hashes collide
+            fresh[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[3][1:] != columns[3][:-1]) | (columns[2][1:] != columns[2][:-1])
+            self.sets[k] = tuple(c[fresh] for c in columns)
+
+    def window(self, k: int, entry: int) -> bytes:
+        start = int(self.sets[k][1][entry])
+        return self.text[start : start + int(self.sets[k][2][entry])].tobytes()
 
     def bitmap(self, k: int) -> np.ndarray:
         bits = np.zeros(1 << _BITS, bool)
-        bits[(self.sets[k] & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
+        bits[(self.sets[k][0] & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
         return bits
 
 
-def _gram_hash(gram: tuple[bytes, ...]) -> int:
-    data = np.frombuffer(b" ".join(gram), np.uint8)
-    _, _, _, h = textbuf.words(data, np.array([0, len(data)]))
-    return int(textbuf.window_hash(h, len(gram))[0])
-
-
 def scan_block(data: np.ndarray, offsets: np.ndarray, grams: Grams, bitmaps: dict[int, np.ndarray]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
     """(words, hit word ranges, items) of each document of a block."""
     n_docs = len(offsets) - 1
@@ -75,25 +109,22 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, grams: Grams, bitmaps: dic
     first = textbuf.per_doc(doc, n_docs)
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
     found: list[set[str]] = [set() for _ in range(n_docs)]
-    own: dict[int, list[bytes]] = {}
-    for k, hashes in grams.sets.items():
+    for k, (hashes, _, _, items) in grams.sets.items():
         w = textbuf.window_hash(h, k)
         if not len(w):
             continue
         at = np.flatnonzero(bitmaps[k][(w & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
         at = at[doc[at] == doc[at + k - 1]]
-        place = np.minimum(np.searchsorted(hashes, w[at]), len(hashes) - 1)
-        at = at[hashes[place] == w[at]]
-        for i in at.tolist():
-            d = int(doc[i])
-            if d not in own:
-                own[d] = _WORD.findall(data[offsets[d] : offsets[d + 1]].tobytes().translate(_UPPER))
-            j = i - int(first[d])
-            here = tuple(own[d][j : j + k])
-            for gram, ids in grams.by_length[k][int(w[i])]:
-                if gram == here:
-                    spans[d].append((j, j + k))
-                    found[d] |= ids
+        lo, hi = np.searchsorted(hashes, w[at]), np.searchsorted(hashes, w[at], "right")
+        known = hi > lo
+        for i, a, b in zip(at[known].tolist(), lo[known].tolist(), hi[known].tolist(), strict=True):
+            own = b" ".join(_WORD.findall(data[starts[i] : ends[i + k - 1]].tobytes().translate(_UPPER)))
+            true = [e for e in range(a, b) if grams.window(k, e) == own]
+            if true:
+                d = int(doc[i])
+                j = i - int(first[d])
+                spans[d].append((j, j + k))
+                found[d].update(grams.names[items[e]] for e in true)
     return np.diff(first), spans, found
 
 
@@ -138,14 +169,14 @@ def _scanner(bc, carry: bool, keep_text: bool):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """The items in blocks of about ``limit`` bytes of text, measured before anything is collected."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // limit))
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        yield part.toArrow()
 
 
 def _numbered(blocks):
@@ -178,80 +209,68 @@ def report(hits: DataFrame) -> DataFrame:
     )
 
 
-def _cutter(bc, carry: bool, last: bool):
-    """Adds the hit words' byte ranges to whole rows (``_hits``: from, to, from, ...), or at last cuts them out."""
+def _marked(spans: list[list[tuple[int, int]]], batch: pa.RecordBatch, name: str, carry: bool) -> tuple[list[list[tuple[int, int]]], pa.RecordBatch]:
+    """The merged spans with those carried in a column (from, to, from, ...), and the batch without it."""
+    if carry:
+        for d, flat in enumerate(batch.column(name).to_pylist()):
+            spans[d] += zip(flat[::2], flat[1::2], strict=True)
+        batch = batch.drop_columns([name])
+    return [merge(s) if s else s for s in spans], batch
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Grams = bc.value
-        bitmaps = {k: grams.bitmap(k) for k in grams.sets}
-        for b in textbuf.blocks(batches):
-            data, offsets = textbuf.buffers(b.column("text"))
-            _, spans, _ = scan_block(data, offsets, grams, bitmaps)
-            if carry:
-                for d, flat in enumerate(b.column("_hits").to_pylist()):
-                    spans[d] += zip(flat[::2], flat[1::2], strict=True)
-                b = b.drop_columns(["_hits"])
-            spans = [merge(s) if s else s for s in spans]
-            if not last:
-                yield b.append_column("_hits", pa.array([[x for s in q for x in s] for q in spans], pa.list_(pa.int32())))
-                continue
-            if any(spans):
-                texts = b.column("text").to_pylist()
-                for d in [d for d, q in enumerate(spans) if q]:
-                    raw = texts[d].encode()
-                    at = [m.span() for m in _WORD.finditer(raw.translate(_UPPER))]
-                    cuts = [0, *(x for i, j in spans[d] for x in (at[i][0], at[j - 1][1])), len(raw)]
-                    texts[d] = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
-                i = b.schema.get_field_index("text")
-                b = b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
-            yield b
 
-    return run
+def _over_rows(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, finish, n: int, limit: int) -> DataFrame:
+    """Whole rows through one scan a benchmark block; ``finish`` (batch, words, hit word ranges) -> batch is the last one's.
 
+    Between the scans the rows carry their hits in a column whose name no other has.
+    """
+    schema, name = documents.schema, "_hits"
+    while name in {c.lower() for c in documents.columns}:
+        name += "_"
+    wide = StructType([*schema.fields, StructField(name, ArrayType(IntegerType()))])
+
+    def scanner(bc, carry: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams: Grams = bc.value
+            bitmaps = {k: grams.bitmap(k) for k in grams.sets}
+            for b in textbuf.blocks(batches):
+                n_words, spans, _ = scan_block(*textbuf.buffers(b.column("text")), grams, bitmaps)
+                spans, b = _marked(spans, b, name, carry)
+                yield finish(b, n_words, spans) if last else b.append_column(name, pa.array([[x for s in q for x in s] for q in spans], pa.list_(pa.int32())))
+
+        return run
 
-def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with every hit run of words, and the separators inside it, cut out of the text; all else stays."""
-    schema = documents.schema
-    wide = StructType([*schema.fields, StructField("_hits", ArrayType(IntegerType()))])
     df = textbuf.small_batches(documents)
     for k, items, last in _numbered(benchmark_blocks(benchmark, "item_id", "text", limit)):
-        df = df.mapInArrow(_cutter(spark.sparkContext.broadcast(Grams(items, n)), carry=k > 0, last=last), schema if last else wide)
+        df = df.mapInArrow(scanner(spark.sparkContext.broadcast(Grams(items, n)), k > 0, last), schema if last else wide)
     return df
 
 
-def _keeper(bc, carry: bool, last: bool):
-    """Adds the hit word ranges to whole rows (``_hits``, as in ``_cutter``), or at last keeps the rows that are clean."""
+def _cut(b: pa.RecordBatch, _, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    if not any(spans):
+        return b
+    texts = b.column("text").to_pylist()
+    for d in [d for d, q in enumerate(spans) if q]:
+        raw = texts[d].encode()
+        at = [m.span() for m in _WORD.finditer(raw.translate(_UPPER))]
+        cuts = [0, *(x for i, j in spans[d] for x in (at[i][0], at[j - 1][1])), len(raw)]
+        texts[d] = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
+    i = b.schema.get_field_index("text")
+    return b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Grams = bc.value
-        bitmaps = {k: grams.bitmap(k) for k in grams.sets}
-        for b in textbuf.blocks(batches):
-            n_words, spans, _ = scan_block(*textbuf.buffers(b.column("text")), grams, bitmaps)
-            if carry:
-                for d, flat in enumerate(b.column("_hits").to_pylist()):
-                    spans[d] += zip(flat[::2], flat[1::2], strict=True)
-                b = b.drop_columns(["_hits"])
-            spans = [merge(s) if s else s for s in spans]
-            if not last:
-                yield b.append_column("_hits", pa.array([[x for s in q for x in s] for q in spans], pa.list_(pa.int32())))
-                continue
-            n_hit = [sum(e - a for a, e in s) for s in spans]
-            yield b.filter(pa.array([not (hit > 0 and 20 * hit >= n) for hit, n in zip(n_hit, n_words.tolist(), strict=True)], pa.bool_()))
 
-    return run
+def _clean(b: pa.RecordBatch, n_words: np.ndarray, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    n_hit = [sum(e - a for a, e in s) for s in spans]
+    return b.filter(pa.array([not (hit > 0 and 20 * hit >= n) for hit, n in zip(n_hit, n_words.tolist(), strict=True)], pa.bool_()))
 
 
-def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without the contaminated ones; all columns stay.
+def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The documents with every hit run of words, and the separators inside it, cut out of the text; all else stays."""
+    return _over_rows(spark, documents, benchmark, _cut, n, limit)
 
-    Rows are filtered as they are scanned; with a benchmark of several blocks they carry their hits to the last scan.
-    """
-    schema = documents.schema
-    wide = StructType([*schema.fields, StructField("_hits", ArrayType(IntegerType()))])
-    df = textbuf.small_batches(documents)
-    for k, items, last in _numbered(benchmark_blocks(benchmark, "item_id", "text", limit)):
-        df = df.mapInArrow(_keeper(spark.sparkContext.broadcast(Grams(items, n)), carry=k > 0, last=last), schema if last else wide)
-    return df
+
+def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without the contaminated ones; all columns stay.  Every row is judged by its own text."""
+    return _over_rows(spark, documents, benchmark, _clean, n, limit)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
