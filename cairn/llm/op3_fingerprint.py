@@ -137,12 +137,38 @@ def _selected(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return won - place[which] + offsets[big[which]], big[which]
 
 
-def filters(data: np.ndarray, offsets: np.ndarray) -> Filters:
-    """The fingerprints of the texts of a block."""
-    n = len(offsets) - 1
+PIECE_BYTES = 1 << 20
+_HALO = WINDOW + 2 * RUN
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the features of the texts, in order.
+
+    A text is looked at in pieces of ``PIECE_BYTES``: whether a window is a feature follows from the windows at
+    most RUN away, so each piece is widened by that much and gives the features that begin inside it.
+    """
+    size = np.diff(offsets)
+    hashes, owners = [], []
+    if (size > PIECE_BYTES).any():
+        for d in range(len(size)):
+            text = data[offsets[d] : offsets[d + 1]]
+            if len(text) <= PIECE_BYTES:
+                h, _ = _features(text, np.array([0, len(text)]))
+                hashes.append(h)
+                owners.append(np.full(len(h), d))
+                continue
+            for lo in range(0, len(text), PIECE_BYTES):
+                begin, end = max(0, lo - _HALO), min(len(text), lo + PIECE_BYTES + _HALO)
+                if end - begin < WINDOW:
+                    continue
+                starts, _ = _selected(text[begin:end], np.array([0, end - begin]))
+                starts = starts[(starts >= lo - begin) & (starts < lo + PIECE_BYTES - begin)]
+                if len(starts):
+                    hashes.append(textbuf.span_hash(text[begin:end], starts, starts + WINDOW))
+                    owners.append(np.full(len(starts), d))
+        return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     starts, owner = _selected(data, offsets)
     ends = starts + WINDOW
-    size = np.diff(offsets)
     short = np.flatnonzero((size > 0) & (size < WINDOW))
     if len(short):
         windows = np.maximum(size[short] - SHORT_WINDOW + 1, 1)
@@ -151,7 +177,13 @@ def filters(data: np.ndarray, offsets: np.ndarray) -> Filters:
         starts, ends, owner = np.concatenate([starts, s]), np.concatenate([ends, np.minimum(s + SHORT_WINDOW, offsets[o + 1])]), np.concatenate([owner, o])
         order = np.argsort(owner, kind="stable")
         starts, ends, owner = starts[order], ends[order], owner[order]
-    h = textbuf.span_hash(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return (textbuf.span_hash(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), owner
+
+
+def filters(data: np.ndarray, offsets: np.ndarray) -> Filters:
+    """The fingerprints of the texts of a block."""
+    n = len(offsets) - 1
+    h, owner = _features(data, offsets)
     # the first of equal features of a text
     order = np.lexsort((np.arange(len(h)), h, owner))
     fresh = np.ones(len(h), bool)
@@ -168,18 +200,34 @@ def filters(data: np.ndarray, offsets: np.ndarray) -> Filters:
     return Filters(features, first, np.packbits(bits, axis=1, bitorder="little"))
 
 
+PAIRS_AT_ONCE = 1 << 16
+
+
 def likeness(a: Filters, i: int, b: Filters, j: int) -> float:
-    """0 to 1: how much of the shorter fingerprint is found in the other."""
+    """0 to 1: how much of the shorter fingerprint is found in the other.
+
+    The filters are compared in chunks, so memory follows one fingerprint, not both multiplied; time is their product.
+    """
     if not a.features[i] or not b.features[j]:
         return float(a.features[i] == b.features[j])
     if (b.first[j + 1] - b.first[j], b.features[j]) < (a.first[i + 1] - a.first[i], a.features[i]):
         a, i, b, j = b, j, a, i
     ra, rb = slice(a.first[i], a.first[i + 1]), slice(b.first[j], b.first[j + 1])
-    common = np.bitwise_count(a.bits[ra][:, None, :] & b.bits[rb][None, :, :]).sum(axis=2)
-    p, q = a.ones[ra][:, None].astype(float), b.ones[rb][None, :].astype(float)
-    chance, most = p * q / FILTER_BITS, np.minimum(p, q)
-    cut = chance + 0.3 * (most - chance)
-    score = np.clip((common - cut) / np.maximum(most - cut, 1e-9), 0, 1).max(axis=1)
+    x, y = a.bits[ra].view(np.uint64), b.bits[rb].view(np.uint64)
+    p, q = a.ones[ra].astype(float), b.ones[rb].astype(float)
+    score = np.zeros(len(x))
+    wide = min(len(y), PAIRS_AT_ONCE)
+    tall = max(1, PAIRS_AT_ONCE // wide)
+    for lo in range(0, len(x), tall):
+        for to in range(0, len(y), wide):
+            common = np.zeros((len(x[lo : lo + tall]), len(y[to : to + wide])))
+            for w in range(x.shape[1]):
+                common += np.bitwise_count(x[lo : lo + tall, w, None] & y[None, to : to + wide, w])
+            one, two = p[lo : lo + tall, None], q[None, to : to + wide]
+            chance, most = one * two / FILTER_BITS, np.minimum(one, two)
+            cut = chance + 0.3 * (most - chance)
+            found = np.clip((common - cut) / np.maximum(most - cut, 1e-9), 0, 1).max(axis=1)
+            np.maximum(score[lo : lo + tall], found, out=score[lo : lo + tall])
     weight = a.filled[ra]
     return float((score * weight).sum() / weight.sum())
 
