@@ -6,8 +6,11 @@ alone decide, and adding a shard moves records only into the new one.
 
 Everything is DataFrame expressions.  Shards are chosen without a shuffle.  Slots are numbered
 within 4,096 hash buckets of every shard, and a bucket's first slot is the sum of the counts
-before it, so no task ever holds a shard.  Rows that agree in everything are counted before the
-shuffle and dealt out again behind it, so a record that repeats very often costs one row.
+before it, so no task ever holds a shard.  The bucket follows from the key, the size and the
+checksum, so the different texts of one key, or of none, are spread over all of a shard's buckets.
+Rows that agree in everything are counted before the shuffle and dealt out again behind it, so a
+record that repeats very often costs one row.  The counted rows are written once and read twice; the
+texts are read once.
 
 Edge cases: a null key hashes as the word ``null``; a null text has size 1 and checksum 0;
 repeated rows get slots of their own; an empty table gives an empty result; extra columns are
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans import storage
+
 SHARDS = 16
 
 
@@ -63,7 +68,7 @@ def numbered(rows: DataFrame, group: str, bucket: str, order: list[str]) -> Data
     Numbers ascend by bucket, then by ``order``; rows equal in every column are interchangeable.
     """
     columns = rows.columns
-    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    counted = storage.stored(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "counted")
     within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
     sizes = counted.groupBy(group, bucket).agg(F.sum("_n").alias("_m"))
@@ -83,8 +88,9 @@ def sharded(documents: DataFrame, weights: list[float], *, added: float = 1.0) -
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
         both.alias("_both"),
-        _digits(key_text(F.col("doc_id")), 1, 3).alias("_bucket"),
-    ).select("doc_id", "size", "text_crc32", F.col("_both.shard").alias("shard"), F.col("_both.grown_shard").alias("grown_shard"), "_bucket")
+    )
+    mark = F.concat_ws("|", key_text(F.col("doc_id")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    rows = rows.select("doc_id", "size", "text_crc32", F.col("_both.shard").alias("shard"), F.col("_both.grown_shard").alias("grown_shard"), _digits(mark, 1, 3).alias("_bucket"))
     out = numbered(rows, "shard", "_bucket", ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
@@ -99,20 +105,20 @@ with steps as (
   select i, list_reduce([i::bigint] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v from range(256) r(i)
 ), tab as (select list(v order by i) as t from steps),
 base as (
-  select doc_id, coalesce(text, '') as text, coalesce(cast(doc_id as varchar), 'null') as k from documents
+  select row_number() over () as row, doc_id, coalesce(text, '') as text, coalesce(cast(doc_id as varchar), 'null') as k from documents
 ), crc as (
-  select doc_id, k, octet_length(encode(text)) + 1 as size,
+  select row, doc_id, k, octet_length(encode(text)) + 1 as size,
     xor(4294967295, list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint),
       lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as text_crc32
   from base, tab
 ), cost as (
   select crc.*, s, -ln((('0x' || substr(md5(k || '|' || s), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) as c from crc, range({SHARDS + 1}) u(s)
 ), best as (
-  select doc_id, size, text_crc32, k, arg_min(s, c) filter (where s < {SHARDS}) as shard, arg_min(s, c) as grown_shard
-  from cost group by doc_id, size, text_crc32, k
+  select row, doc_id, size, text_crc32, k, arg_min(s, c) filter (where s < {SHARDS}) as shard, arg_min(s, c) as grown_shard
+  from cost group by row, doc_id, size, text_crc32, k
 )
 select doc_id, cast(size as bigint) as size, text_crc32, 'key' as law, cast(shard as integer) as shard,
-  row_number() over (partition by shard order by ('0x' || substr(md5(k), 1, 3))::bigint, doc_id, size, text_crc32) - 1 as slot,
+  row_number() over (partition by shard order by ('0x' || substr(md5(k || '|' || size || '|' || text_crc32), 1, 3))::bigint, doc_id, size, text_crc32) - 1 as slot,
   cast(grown_shard as integer) as grown_shard
 from best
 """
