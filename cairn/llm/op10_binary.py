@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans import ranges, storage
-from . import op7_tokens, textbuf
+from ..plans import storage
+from . import op7_tokens, ranges, textbuf
 from .units import UnitEncoder, joined
 
 END_ID = 2
@@ -254,8 +254,9 @@ def write(spark: SparkSession, documents: DataFrame, folder: str, *, tokenizer:
     width = 2 if op7_tokens.load(path).get_vocab_size() <= 1 << 16 else 4
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ends = ranges.bounds(rows, "doc_id", rows_per_shard)
-    placed = rows.withColumn("shard", ranges.bucket(F.col("doc_id"), ends).cast("int"))
-    sorted_rows = placed.repartitionById(len(ends) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
+    rows = rows.withColumn("place", F.xxhash64("text"))
+    placed = rows.withColumn("shard", ranges.bucket(F.col("doc_id"), F.col("place"), ends).cast("int"))
+    sorted_rows = placed.repartitionById(len(ends) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "place", "text")
     manifest = storage.stored(textbuf.small_batches(sorted_rows).mapInArrow(_writer(folder, path, end_id, width), "shard int, docs long, ids long"), "manifest")
     # one small row per file: numbering them in one task is bounded by the number of files
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

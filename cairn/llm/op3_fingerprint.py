@@ -18,8 +18,9 @@ one by id, moves each text once, by range of the id.
 Edge cases: a text under 64 bytes has all its windows of 8 bytes as features (one feature if it
 is shorter still); an empty or null text has none; two fingerprints without features are alike
 (1.0), one with and one without are not (0.0); equal texts have equal fingerprints; in the query,
-rows with the same id follow each other by text, null ids come last, and the only row of a table
-is its own next; extra columns are ignored.
+rows with the same id follow each other in any one order, null ids come last, and the only row of a table
+is its own next; an empty table gives an empty result; repeated rows have equal fingerprints; a very
+long text takes about 20 times its bytes in the query and twice that time a piece of 1 MB; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans import ranges
-from . import textbuf
+from . import ranges, textbuf
 
 WINDOW = 64
 RUN = 64
@@ -320,21 +320,26 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def neighbours(documents: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rows in range buckets of the id; each bucket also gets, as a ghost, the row that follows its last one.
 
-    The order is by descending id, then text; the last row is followed by the first.
+    The order is by descending id (none comes last), then by a hash of the text, which also parts the rows of
+    an id, or of none, that fill several buckets; the last row is followed by the first.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ends = ranges.bounds(docs, "doc_id", rows_per_bucket)
-    where = ranges.bucket(F.col("doc_id"), ends).cast("int")
-    tops = docs.select("doc_id", where.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    # texts are only hashed, which takes another look at them, where ids have to be parted
+    hashed = F.xxhash64("text") if ranges.by_hash(ends) else F.lit(0).cast("long")
+    docs = docs.withColumn("place", hashed)
+    where = ranges.bucket(F.col("doc_id"), F.col("place"), ends).cast("int")
+    tops = docs.select(where.alias("bucket"), F.struct("doc_id", "place").alias("row")).groupBy("bucket").agg(F.max("row").alias("top"))
     # one row per bucket: the first row of a bucket follows the last row of the bucket above it
     order = Window.orderBy("bucket")
     above = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ghosts = tops.select("top", above.alias("bucket")).filter("top is not null")
+    ghosts = tops.select("top", above.alias("bucket"))
     if len(ends) < SMALL_TABLE:
         ghosts = F.broadcast(ghosts)
-    own = docs.select("doc_id", "text", where.alias("bucket"), F.lit(False).alias("ghost"))
-    extra = docs.join(ghosts, docs["doc_id"] == F.col("top")).select("doc_id", "text", "bucket", F.lit(True).alias("ghost"))
-    return own.unionByName(extra).repartitionById(len(ends) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), "text")
+    own = docs.select("doc_id", "text", "place", where.alias("bucket"), F.lit(False).alias("ghost"))
+    extra = docs.join(ghosts, docs["doc_id"].eqNullSafe(F.col("top.doc_id")) & (docs["place"] == F.col("top.place"))).select("doc_id", "text", "place", "bucket", F.lit(True).alias("ghost"))
+    rows = own.unionByName(extra).repartitionById(len(ends) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc("place"), "text")
+    return rows.select("doc_id", "text", "bucket", "ghost")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

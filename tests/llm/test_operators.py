@@ -1,5 +1,6 @@
 """Operators against brute-force versions, exact round trips and held-out accuracy."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -9,8 +10,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.llm import automaton, op1_language, op2_shard, op3_fingerprint, op4_toxicity, op5_decontaminate, op6_sentencepiece, op7_tokens, op8_jaccard, op9_secrets, op10_binary, registry, textbuf
+from cairn.llm import automaton, op1_language, op2_shard, op3_fingerprint, op4_toxicity, op5_decontaminate, op6_sentencepiece, op7_tokens, op8_jaccard, op9_secrets, op10_binary, ranges, registry, textbuf
 from cairn.llm.spm_model import BYTE, CONTROL, NORMAL, UNKNOWN
 from tests.compare import same
 
@@ -83,6 +85,27 @@ def test_repeated_records_share_no_task_and_get_slots(spark):
     assert got.selectExpr("count(distinct slot)", "max(slot)").first()[:] == (200_000, 199_999)
 
 
+def test_range_buckets(spark):
+    h = F.xxhash64("t")
+    df = spark.range(1000).selectExpr("(id - 500) * 7 as k", "cast(id as string) as t")
+    ends = ranges.bounds(df, "k", 100)
+    got = df.select("k", h.alias("h"), ranges.bucket(F.col("k"), h, ends).alias("b")).collect()
+    counts = collections.Counter(r["b"] for r in got)
+    assert len(counts) == len(ends) + 1 == 10 and max(counts.values()) < 130 and not ranges.by_hash(ends)
+    assert len(ranges.bounds(df, "k", 1, most=25)) == 24
+    assert all(r["b"] == bisect.bisect_right(ends, (r["k"], r["h"])) for r in got)
+
+
+def test_range_buckets_of_one_id_and_of_none(spark):
+    df = spark.range(3000).selectExpr("case when id < 1000 then null when id < 2000 then 7 when id < 2010 then -9223372036854775808 else id end as k", "cast(id as string) as t")
+    h = F.xxhash64("t")
+    ends = ranges.bounds(df, "k", 100)
+    got = df.select("k", h.alias("h"), ranges.bucket(F.col("k"), h, ends).alias("b")).collect()
+    assert max(collections.Counter(r["b"] for r in got).values()) < 250 and ranges.by_hash(ends)
+    order = sorted(got, key=lambda r: (r["k"] is not None, r["k"] or 0, r["h"]))
+    assert [r["b"] for r in order] == sorted(r["b"] for r in got)
+
+
 def test_selected_features():
     r = random.Random(1)
     texts = [bytes(r.choice(b"abcdefgh \n") for _ in range(n)) for n in (64, 65, 127, 128, 400, 700)] + [b"a" * 200, b"", b"abc"]
