@@ -2,19 +2,21 @@
 
 ``build`` parses the model's protobuf and rebuilds it: the character map as normaliser, the
 dummy prefix and the space marker, unigram scores (or, for a merge model, the merges that its
-scores imply) and byte fallback.  ``Codec`` encodes whole texts in batches and decodes ids;
-``parity`` compares both with the SentencePiece library on given texts.
+scores imply) and byte fallback.  ``Codec`` encodes whole texts in batches and decodes ids, both
+by the library.  What it encodes it checks against the SentencePiece library, and a difference is an
+error; ``parity`` lists the differences of given texts.
 
-For merge models a text is also encoded by distinct units: no piece holds a space marker
+For merge models a text is encoded by distinct units: no piece holds a space marker
 behind another character, or a character that the model spells in bytes, so a text may be cut
-before every space that follows another character and around such characters.
+before every space that follows another character and around such characters.  Each unit is
+checked when it is first encoded.  Texts of other models are encoded and checked whole.
 
-Scale: each text is encoded whole in Arrow batches and nothing is shuffled; batches of units go
-to the library together, which spreads them over threads where it is allowed to
-(``TOKENIZERS_PARALLELISM``).
+Scale: each text is encoded whole in Arrow batches and nothing is shuffled; batches of units and of
+ids go to the library together, which spreads them over threads (``units.threaded``).
 
 Edge cases: null and empty texts have no ids and decode to the empty text; repeated rows are
-encoded alike; extra columns are ignored.
+encoded alike; an empty table gives an empty result; a very long text is a block of its own (about
+60 times its bytes); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import spm_model, textbuf
 from .spm_model import SPACE, SpmModel
-from .units import UnitEncoder, joined
+from .units import THREADS, UnitEncoder, joined, threaded
 
 MODEL = "piece_bpe_32k.model"
 BLOCK_BYTES = 2 << 20
@@ -81,7 +83,7 @@ def build(model: SpmModel, prefix: bool | None = None):
     tokenizer = Tokenizer(core)
     if steps:
         tokenizer.normalizer = normalizers.Sequence(steps)
-    ends = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
+    ends = [decoders.Replace(unk, " ⁇ "), decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
     if model.add_dummy_prefix:
         ends.append(decoders.Strip(" ", 1, 0))
     tokenizer.decoder = decoders.Sequence(ends)
@@ -97,28 +99,28 @@ def _regex(pattern: str):
 class Codec:
     """Encoding and decoding of one model in one process."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str, verified: bool = True):
+        threaded()
         self.model = spm_model.parse(path)
         self.tokenizer = build(self.model)
         self.by_units = self._separable()
+        self.judge = _judge(path, prefix=not self.by_units) if verified else None
         if self.by_units:
-            self.bare = build(self.model, prefix=False)
+            bare = build(self.model, prefix=False)
             starts = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
-            self.units = UnitEncoder(lambda units: joined(self.bare, starts, units, _simple), _cuts)
-        # what each id spells: pieces in UTF-8 with spaces, bytes as themselves, nothing for control ids
-        spelled = []
-        for piece, _, kind in self.model.pieces:
-            if kind == spm_model.BYTE:
-                spelled.append(bytes([int(piece[3:5], 16)]))
-            elif kind == spm_model.CONTROL:
-                spelled.append(b"")
-            elif kind == spm_model.UNKNOWN:
-                spelled.append(" ⁇ ".encode())
-            else:
-                spelled.append(piece.replace(SPACE, " ").encode())
-        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
-        self.spelled_ends = np.cumsum([0, *map(len, spelled)])
+            self.units = UnitEncoder(lambda units: self._checked(units, *joined(bare, starts, units, _simple)), _cuts)
+        self.control = np.array([kind == spm_model.CONTROL for _, _, kind in self.model.pieces])
+
+    def _checked(self, texts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, if the SentencePiece library gives the same."""
+        if self.judge is not None and texts:
+            theirs = self.judge.encode([t.decode() for t in texts], num_threads=THREADS)
+            flat = np.fromiter((x for t in theirs for x in t), np.uint32)
+            if not (np.array_equal(flat, ids) and np.array_equal(sizes, [len(t) for t in theirs])):
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                wrong = next(t for t, their, lo, hi in zip(texts, theirs, ends[:-1], ends[1:], strict=True) if their != ids[lo:hi].tolist())
+                raise ValueError(f"the SentencePiece library encodes {wrong[:200]!r} otherwise")
+        return ids, sizes
 
     def _separable(self) -> bool:
         """Whether cutting by units is exact for this model."""
@@ -132,9 +134,10 @@ class Codec:
         """(ids of all texts, ids of each)."""
         data, offsets = textbuf.buffers(texts)
         if not self.by_units:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            whole = [t or "" for t in texts.to_pylist()]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            return np.fromiter((x for g in got for x in g), np.uint32, int(sizes.sum())), sizes
+            return self._checked([t.encode() for t in whole], np.fromiter((x for g in got for x in g), np.uint32, int(sizes.sum())), sizes)
         if pc.any(pc.match_substring(texts, SPACE)).as_py():  # the marker itself means a space
             data, offsets = textbuf.buffers(pc.replace_substring(texts, SPACE, " "))
         # the dummy prefix: a space before every text that has any characters
@@ -146,12 +149,23 @@ class Codec:
         return self.units.run(wide, np.concatenate([[0], np.cumsum(size + some)]))
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        """The text of each run of ids, as UTF-8, without the dummy prefix."""
-        length = np.diff(self.spelled_ends)[ids]
-        raw = self.spelled[textbuf.ragged(self.spelled_ends[ids], length)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-        drop = self.model.add_dummy_prefix and self.model.escape_whitespaces
-        return [raw[a + (drop and raw[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        """The text of each run of ids, as UTF-8, without the dummy prefix; control ids spell nothing."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        spelled = ~self.control[ids]
+        if not spelled.all():
+            ids, ends = ids[spelled], np.concatenate([[0], np.cumsum(spelled)])[ends]
+        runs, ends = ids.tolist(), ends.tolist()
+        return [t.encode() for t in self.tokenizer.decode_batch([runs[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], skip_special_tokens=False)]
+
+
+def _judge(path: str, prefix: bool):
+    """The SentencePiece processor of the model; without ``prefix`` its dummy prefix is switched off, by a
+    normaliser message behind the model's own that holds field 3, add_dummy_prefix, as false."""
+    import sentencepiece
+
+    with open(path, "rb") as f:
+        proto = f.read()
+    return sentencepiece.SentencePieceProcessor(model_proto=proto if prefix else proto + b"\x1a\x02\x18\x00")
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -180,14 +194,14 @@ def parity(path: str, texts: list[str]) -> list[str]:
     import sentencepiece
 
     theirs = sentencepiece.SentencePieceProcessor(model_file=path)
-    ours = codec(path)
+    ours = Codec(path, verified=False)
     ids, sizes = ours.encode(pa.array(texts, pa.large_string()))
     back = ours.decode(ids, sizes)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for i, t in enumerate(texts):
         own, want = ids[ends[i] : ends[i + 1]].tolist(), theirs.encode(t)
-        if own != want or back[i].decode(errors="replace") != theirs.decode(want):
+        if own != want or back[i].decode() != theirs.decode(want):
             out.append(t)
     return out
 

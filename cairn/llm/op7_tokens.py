@@ -6,7 +6,8 @@ whole.  Parts of many texts are encoded together in batches of about equal bytes
 their lengths are kept.  No text is truncated or padded and nothing is shuffled.
 
 Edge cases: null and empty texts have no tokens; special strings inside a text are handled as
-the library does by default; a text without any safe boundary is encoded in one part.
+the library does by default; a text without any safe boundary is encoded in one part; repeated rows
+count alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textbuf
+from . import textbuf, units
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -45,7 +46,7 @@ _loaded: dict[str, object] = {}
 def load(path: str):
     """The tokenizer of a file, one per process, without truncation and padding."""
     if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        units.threaded()
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)

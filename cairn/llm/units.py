@@ -7,6 +7,7 @@ them exactly, by their bytes) and a bounded cache keeps them for the following b
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,14 @@ from . import textbuf
 CACHE_UNITS = 250_000
 LONG_UNIT = 256
 JOINED_UNITS = 1024
+THREADS = 2
+
+
+def threaded() -> None:
+    """Let the tokenizers library of this process spread a batch over ``THREADS`` threads, unless the environment
+    says otherwise; to be called before its first use.  An executor runs one process a core, so more would only wait."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
 
 
 class UnitEncoder:
