@@ -13,12 +13,19 @@ The index maps a key to its slot in constant time: at each level the key has one
 first set bit's rank is the slot, and the stored 32-bit fingerprint rejects foreign keys
 (one in 2**32 passes).  Keys that repeat are adjacent; the slot has the first row.
 
+Beside the shards lies ``manifest.parquet`` with each shard's place in the output and its first and last
+key.  ``Store(folder).get(key)`` looks the key's shard up in it, opens that one, and asks its index: the cost
+does not depend on the number of documents.
+
 Scale: one shuffle of the texts, by range of the id; a task holds one block of texts and one
 shard's id table, never its payload.  Files are written under a temporary name and renamed, and
 their content depends on the rows alone, so a retried or doubled task leaves the same file.
 
 Edge cases: a null or empty text holds only the end id; null document ids come first and are
-not in the index; repeated ids keep all their rows; an empty table writes nothing.
+not in the index; repeated ids keep all their rows, in any one order and, if they are very many, in several
+shards, of which ``get`` finds the first; rows that agree in id and text stay in one shard; an empty
+table writes a manifest without rows; a very long text is a block of its own (about 60 times its
+bytes); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +108,21 @@ class PerfectHash:
 
 
 def _file_system(path: str):
+    """(file system, path in it) of a URI."""
     from pyarrow import fs
 
+    if ":" not in path:
+        raise ValueError(f"{path} names no file system; give a URI such as file://, hdfs:// or s3://")
     return fs.FileSystem.from_uri(path)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI; one without a scheme lies in Hadoop's default file system, as for Spark itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 class ShardWriter:
     def __init__(self, folder: str, name: str, width: int):
         self.fs, root = _file_system(folder)
@@ -121,8 +139,8 @@ class ShardWriter:
         self.lengths.append(lengths)
         self.nulls += nulls
 
-    def close(self) -> tuple[int, int]:
-        """(documents, ids) written."""
+    def close(self) -> tuple[int, int, int | None, int | None]:
+        """(documents, ids, first key, last key) written."""
         keys = np.concatenate(self.keys)
         ends = np.concatenate([[0], np.cumsum(np.concatenate(self.lengths))]).astype("<u8")
         own = keys[self.nulls :]
@@ -145,7 +163,7 @@ class ShardWriter:
         self.out.write(tail + len(tail).to_bytes(8, "little") + MAGIC)
         self.out.close()
         self.fs.move(self.temporary, self.final)
-        return len(keys), int(ends[-1])
+        return len(keys), int(ends[-1]), *((int(own[0]), int(own[-1])) if len(own) else (None, None))
 
 
 class ShardReader:
@@ -193,6 +211,35 @@ class ShardReader:
         self.file.close()
 
 
+class Store:
+    """Keyed access to a whole output by its manifest; shards are opened as they are asked for."""
+
+    def __init__(self, folder: str):
+        import pyarrow.parquet as pq
+
+        self.folder = folder
+        fs, root = _file_system(folder)
+        self.manifest = pq.read_table(f"{root}/{MANIFEST}", filesystem=fs)
+        keyed = self.manifest.filter(pa.compute.is_valid(self.manifest.column("first_key")))
+        self.shard, self.low, self.high = (keyed.column(c).to_numpy() for c in ("shard", "first_key", "last_key"))
+        self.open: dict[int, ShardReader] = {}
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the first document of that key, None if there is none."""
+        at = int(np.searchsorted(self.high, key))
+        if at == len(self.high) or self.low[at] > key:
+            return None
+        number = int(self.shard[at])
+        if number not in self.open:
+            self.open[number] = ShardReader(self.folder, shard_name(number))
+        return self.open[number].get(key)
+
+    def close(self) -> None:
+        for reader in self.open.values():
+            reader.close()
+        self.open.clear()
+
+
 _encoders: dict[str, UnitEncoder] = {}
 #: How byte-level vocabularies write the space byte.
 _SPACE = "\u0120"
@@ -213,6 +260,9 @@ def unit_encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+MANIFEST = "manifest.parquet"
+
+
 def shard_name(number: int) -> str:
     return f"shard-{number:07d}.ids"
 
@@ -223,8 +273,8 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
         writer, current = None, None
 
         def finished() -> pa.RecordBatch:
-            docs, ids = writer.close()
-            return pa.RecordBatch.from_pydict({"shard": pa.array([current], pa.int32()), "docs": pa.array([docs], pa.int64()), "ids": pa.array([ids], pa.int64())})
+            numbers = dict(zip(("docs", "ids", "first_key", "last_key"), writer.close(), strict=True))
+            return pa.RecordBatch.from_pydict({"shard": pa.array([current], pa.int32()), **{k: pa.array([v], pa.int64()) for k, v in numbers.items()}})
 
         for b in textbuf.blocks(batches, limit=BLOCK_BYTES):
             shards = b.column("shard").to_numpy()
@@ -249,7 +299,9 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
 
 
 def write(spark: SparkSession, documents: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int | None = END_ID, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Write the shards of the documents; returns (and keeps beside them) shard, docs, ids, first_id."""
+    """Write the shards of the documents; returns, and keeps beside them, the manifest: shard, docs, ids, first_key,
+    last_key and first_id, the number of ids in the shards before."""
+    folder = qualified(spark, folder)
     path = tokenizer or op7_tokens.tokenizer_path()
     width = 2 if op7_tokens.load(path).get_vocab_size() <= 1 << 16 else 4
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -257,10 +309,22 @@ def write(spark: SparkSession, documents: DataFrame, folder: str, *, tokenizer:
     rows = rows.withColumn("place", F.xxhash64("text"))
     placed = rows.withColumn("shard", ranges.bucket(F.col("doc_id"), F.col("place"), ends).cast("int"))
     sorted_rows = placed.repartitionById(len(ends) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "place", "text")
-    manifest = storage.stored(textbuf.small_batches(sorted_rows).mapInArrow(_writer(folder, path, end_id, width), "shard int, docs long, ids long"), "manifest")
-    # one small row per file: numbering them in one task is bounded by the number of files
+    manifest = storage.stored(textbuf.small_batches(sorted_rows).mapInArrow(_writer(folder, path, end_id, width), "shard int, docs long, ids long, first_key long, last_key long"), "manifest")
+    # one small row per file: numbering them in one task, and bringing them here, is bounded by the number of files
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("first_id", F.coalesce(F.sum("ids").over(order), F.lit(0)))
+    manifest = manifest.withColumn("first_id", F.coalesce(F.sum("ids").over(order), F.lit(0)))
+    _keep(folder, manifest.orderBy("shard").toArrow())
+    return manifest
+
+
+def _keep(folder: str, manifest: pa.Table) -> None:
+    import pyarrow.parquet as pq
+
+    fs, root = _file_system(folder)
+    fs.create_dir(root)
+    temporary = f"{root}/.{MANIFEST}-{uuid.uuid4().hex}"
+    pq.write_table(manifest, temporary, filesystem=fs)
+    fs.move(temporary, f"{root}/{MANIFEST}")
 
 
 READ_IDS = 1 << 20
@@ -268,6 +332,7 @@ READ_IDS = 1 << 20
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files, found by key."""
+    folder = qualified(manifest.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

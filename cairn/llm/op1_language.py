@@ -6,14 +6,16 @@ segmentations into pieces, found by a forward algorithm; the probabilities are l
 expectation-maximisation with the matching backward pass.  A text is the product of its
 words, and the posterior under equal priors gives the language and the score.
 
-Learning takes a bounded sample (``DOCS_PER_LANG`` rows and ``BYTES_PER_LANG`` bytes of each
-language, chosen by a hash of the id); prediction reads every text once in Arrow batches,
-scores each distinct word of a block once, and shuffles nothing.
+Learning takes a bounded sample: of each language at most ``DOCS_PER_LANG`` different texts of at
+most ``LONGEST_SAMPLE`` bytes and together ``BYTES_PER_LANG`` bytes, chosen by a hash of id and text,
+however often ids or rows repeat.  Prediction reads every text once in Arrow batches, scores each
+distinct word of a block once, and shuffles nothing.
 
 Edge cases: a null text, an empty one and one without any letter get ``und`` and score 0;
-words of digits only are ignored; a word over ``UNIT`` bytes is scored in units of that
-size, so no text is cut short; null languages are not learned; with no labelled row
-everything is ``und``; repeated rows are scored alike; extra columns are ignored.
+words of digits only are ignored; a word over ``UNIT`` bytes is scored in units of about that
+size, parted between characters, so no text is cut short; null languages and rows without an id are not
+learned; with no labelled row everything is ``und``; an empty table gives an empty result; repeated rows
+are scored alike; a very long text is a block of its own (about 50 times its bytes); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import spm_model, textbuf
 
@@ -34,7 +37,6 @@ VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANG = 300
 BYTES_PER_LANG = 1_000_000
 LONGEST_SAMPLE = 1 << 16
-PIECE_BYTES = 12
 UNIT = 64
 ROUNDS = 4
 SMOOTH = 0.05
@@ -52,9 +54,10 @@ class Pieces:
         for piece, _, kind in spm_model.parse(path).pieces:
             if kind == spm_model.NORMAL:
                 raw = piece.replace(spm_model.SPACE, " ").lower().encode()
-                if 0 < len(raw) <= PIECE_BYTES:
+                if 0 < len(raw) <= UNIT + 1:  # a longer one is in no unit
                     texts.add(raw)
         self.texts = [b"", *sorted(texts)]
+        self.lengths = sorted({len(t) for t in texts})
         joined = b"".join(self.texts)
         ends = np.cumsum([len(t) for t in self.texts])
         starts = np.concatenate([[0], ends[:-1]])
@@ -91,12 +94,19 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, doc, h = starts[keep], ends[keep], doc[keep], h[keep]
     long = ends - starts > UNIT
     if long.any():
-        n = -(-(ends - starts) // UNIT)
+        # at every UNIT bytes, or before the character that lies there, of at most four bytes
+        n = -(-(ends - starts) // (UNIT - 3))
         row = np.repeat(np.arange(len(starts)), n)
-        k = textbuf.ragged(np.zeros(len(n), np.int64), n)
-        s = starts[row] + k * UNIT
-        e = np.minimum(ends[row], s + UNIT)
-        starts, ends, doc = s, e, doc[row]
+        s = starts[row] + textbuf.ragged(np.zeros(len(n), np.int64), n) * (UNIT - 3)
+        padded = np.append(low, np.uint8(0))
+        for _ in range(3):
+            s += (padded[s] & 0xC0) == 0x80
+        s = np.minimum(s, ends[row])
+        e = np.append(s[1:], 0)
+        last = np.cumsum(n) - 1
+        e[last] = ends
+        some = e > s
+        starts, ends, doc = s[some], e[some], doc[row][some]
         h = _spans(low, starts, ends)
     _, first, code = np.unique(h, return_index=True, return_inverse=True)
     return low, starts[first], (ends - starts)[first], code, doc
@@ -125,7 +135,7 @@ def lattices(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: P
         np.cumsum((chars + np.uint64(1)) * up[:n, None], axis=0, out=sums[1:])
         edges = []
         for end in range(1, n + 1):
-            for k in range(1, min(PIECE_BYTES, end) + 1):
+            for k in [x for x in pieces.lengths if x <= end]:
                 found = pieces.find(textbuf.mix((sums[end] - sums[end - k]) * down[end - k]))
                 hit = np.flatnonzero(found)
                 if len(hit):
@@ -133,8 +143,15 @@ def lattices(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: P
         yield Lattice(rows, n, edges)
 
 
+SCALE = 8.0  # every byte raises a probability by this power of e, so that no unit's leaves the numbers
+
+
+def raised(pieces: Pieces, prob: np.ndarray) -> np.ndarray:
+    return prob * np.exp(SCALE * np.array([len(t) for t in pieces.texts]))[:, None]
+
+
 def forward(lat: Lattice, prob: np.ndarray) -> np.ndarray:
-    """alpha[position, unit, language]: the summed probability of all segmentations of the prefix."""
+    """alpha[position, unit, language]: the summed (raised) probability of all segmentations of the prefix."""
     alpha = np.zeros((lat.n + 1, len(lat.rows), prob.shape[1]))
     alpha[0] = 1
     for end, k, hit, piece in lat.edges:
@@ -147,8 +164,9 @@ def forward(lat: Lattice, prob: np.ndarray) -> np.ndarray:
 
 def log_scores(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     out = np.zeros((len(starts), prob.shape[1]))
+    high = raised(pieces, prob)
     for lat in lattices(low, starts, lengths, pieces):
-        out[lat.rows] = np.log(np.maximum(forward(lat, prob)[lat.n], 1e-300))
+        out[lat.rows] = np.log(forward(lat, high)[lat.n]) - SCALE * lat.n
     return out
 
 
@@ -207,13 +225,14 @@ def learn(samples: list[tuple[str, str]], vocabulary: str, rounds: int = ROUNDS)
     prob = normal(start)
     for _ in range(rounds):
         expected = np.zeros_like(prob)
+        high = raised(pieces, prob)
         for lat in lats:
-            alpha = forward(lat, prob)
+            alpha = forward(lat, high)
             beta = np.zeros_like(alpha)
             beta[lat.n] = 1
-            weight = counts[lat.rows] / np.maximum(alpha[lat.n], 1e-300)
+            weight = counts[lat.rows] / alpha[lat.n]
             for end, k, hit, piece in reversed(lat.edges):
-                flow = prob[piece] * beta[end, hit]
+                flow = high[piece] * beta[end, hit]
                 beta[end - k, hit] += flow
                 share = alpha[end - k, hit] * flow * weight[hit]
                 for j in range(len(languages)):
@@ -223,25 +242,19 @@ def learn(samples: list[tuple[str, str]], vocabulary: str, rounds: int = ROUNDS)
 
 
 def sample(documents: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, longest: int = LONGEST_SAMPLE) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows, by a hash of the id: first the ids, then their texts."""
-    labelled = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~F.expr(HELD_OUT))
-    # a rate for each language that leaves about twice the rows wanted, so that ranking them costs nothing at any size
-    rates = {r[0]: min(1.0, 2 * docs_per_lang / r[1]) for r in labelled.groupBy("lang").count().collect()}
+    """A bounded sample of labelled rows: (language, text)."""
+    labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.expr(HELD_OUT) & (F.octet_length("text") <= longest))
+    labelled = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # a rate for each language that leaves about twice the texts wanted, so that ranking them costs nothing at any size
+    rates = {r[0]: min(1.0, 2 * docs_per_lang / max(1, r[1])) for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}
     if not rates:
         return []
     rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
-    labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r[0] for r in labelled.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang).select("doc_id").collect()]
-    if not ids:
-        return []
-    rows = documents.select("doc_id", "lang", "text").filter(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & (F.octet_length("text") <= longest)).collect()
-    out, used = [], {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"].encode())
-        if used[r["lang"]] <= bytes_per_lang:
-            out.append((r["lang"], r["text"]))
-    return out
+    thin = labelled.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = thin.withColumns({"r": F.row_number().over(order), "b": F.sum(F.octet_length("text")).over(order)})
+    rows = ranked.filter((F.col("r") <= docs_per_lang) & (F.col("b") <= bytes_per_lang)).select("lang", "text").collect()
+    return sorted((r["lang"], r["text"]) for r in rows)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -254,31 +267,32 @@ def train(documents: DataFrame, vocabulary: str | None = None) -> LanguageModel:
     return learn(sample(documents), vocabulary or vocabulary_path())
 
 
-def _batches(bc, passed: list[str]):
+def _batches(bc, passed: list[str], added: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = bc.value
         names = pa.array([*model.languages, "und"], pa.string())
         for b in textbuf.blocks(batches, limit=BLOCK_BYTES):
             best, score = model.score_block(b.column("text"))
             cols = {c: b.column(c) for c in passed}
-            cols["lang_pred"] = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
-            cols["score"] = pa.array(score)
+            cols[added[0]] = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
+            cols[added[1]] = pa.array(score)
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-def predict(spark: SparkSession, rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows with ``lang_pred`` and ``score`` (columns of these names are replaced); only ``text`` is looked at."""
-    kept = [f for f in rows.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return textbuf.small_batches(rows).select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(_batches(spark.sparkContext.broadcast(model), [f.name for f in kept]), schema)
+def predict(spark: SparkSession, rows: DataFrame, model: LanguageModel, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows with ``lang_pred`` and ``score`` under these or other names (columns so named are replaced); only ``text`` is looked at."""
+    kept = [f for f in rows.schema.fields if f.name not in added]
+    schema = StructType([*kept, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
+    return textbuf.small_batches(rows).select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(_batches(spark.sparkContext.broadcast(model), [f.name for f in kept], added), schema)
 
 
 def accepted(spark: SparkSession, documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents with a language: not ``und``, and the best posterior is at least ``least``.  Columns stay."""
-    scored = predict(spark, documents, train(documents))
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents with a language: not ``und``, and the best posterior is at least ``least``.  All columns stay as they are."""
+    added = textbuf.unused("_lang_pred", documents), textbuf.unused("_score", documents)
+    scored = predict(spark, documents, train(documents), added)
+    return scored.filter((F.col(added[0]) != "und") & (F.col(added[1]) >= least)).drop(*added)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ window's logit.  A text's windows overlap by half, all of them are scored, and t
 logit, calibrated, is the text's score.
 
 The network is trained here, in numpy, by back-propagation through time on a bounded sample
-of labelled rows (``DOCS_PER_CLASS`` of each label, by a hash of the id, texts of at most
-``LONGEST_SAMPLE`` bytes).  A toxic text need not be toxic throughout: the window that trains
+of labelled rows (of each label at most ``DOCS_PER_CLASS`` different texts of at most ``LONGEST_SAMPLE``
+bytes, by a hash of id and text, however often ids or rows repeat).  A toxic text need not be toxic throughout: the window that trains
 for it is at first the one with the most telling word, then the one that the network itself
 scores highest; windows of other texts train as they are, the highest ones each time.
 
@@ -17,7 +17,8 @@ texts, without a shuffle, each distinct word of a block being prepared once.
 
 Edge cases: null, empty and wordless texts score 0; without labels of both kinds everything
 scores 0; repeated rows score alike; null labels are not learned; of several labels of an id
-the largest counts; extra columns are ignored.
+the largest counts; an empty table gives an empty result; a very long text is a block of its own
+(about 50 times its bytes); extra columns are passed through (``score`` and ``predicted`` are replaced).
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import textbuf
 
@@ -364,12 +366,15 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CL
     counts = {x[0]: x[1] for x in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return []
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * per_class / n))])
+    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * per_class / n))])
     thin = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("toxic")) * (1 << 30))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = {x[0]: x[1] for x in thin.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_class).select("doc_id", "toxic").collect()}
-    rows = documents.select("doc_id", "text").filter(F.col("doc_id").isin(list(ids)) & (F.octet_length("text") <= longest)).collect()
-    return [(ids[x["doc_id"]], x["text"]) for x in sorted(rows, key=lambda x: (x["doc_id"], x["text"]))]
+    # twice as many ids as texts are wanted, for ids without a text or with one that is too long
+    ids = thin.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * per_class).select(F.col("doc_id").alias("id"), "toxic")
+    texts = documents.select("doc_id", "text").filter(F.octet_length("text") <= longest).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    texts = texts.select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("h2")).dropDuplicates(["toxic", "h2"])
+    rows = texts.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "h2"))).filter(F.col("r") <= per_class).select("toxic", "text").collect()
+    return sorted((x["toxic"], x["text"]) for x in rows)
 
 
 def scored(spark: SparkSession, rows: DataFrame, net: Network | None) -> DataFrame:
@@ -383,7 +388,7 @@ def scored(spark: SparkSession, rows: DataFrame, net: Network | None) -> DataFra
             score = np.zeros(b.num_rows) if model is None else model.scores(*textbuf.buffers(b.column("text")))
             yield pa.RecordBatch.from_pydict({**{f.name: b.column(f.name) for f in kept}, "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double", "predicted int"])
+    schema = StructType([*kept, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return textbuf.small_batches(rows).select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 

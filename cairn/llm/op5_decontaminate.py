@@ -223,9 +223,7 @@ def _over_rows(spark: SparkSession, documents: DataFrame, benchmark: DataFrame,
 
     Between the scans the rows carry their hits in a column whose name no other has.
     """
-    schema, name = documents.schema, "_hits"
-    while name in {c.lower() for c in documents.columns}:
-        name += "_"
+    schema, name = documents.schema, textbuf.unused("_hits", documents)
     wide = StructType([*schema.fields, StructField(name, ArrayType(IntegerType()))])
 
     def scanner(bc, carry: bool, last: bool):

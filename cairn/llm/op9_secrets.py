@@ -10,7 +10,8 @@ Each text is read whole in Arrow batches; nothing is shuffled.  Long texts are c
 chunks that are read side by side, with entry states that are checked, so cost is linear.
 
 Edge cases: null and empty texts have no spans; positions are code points, the end
-exclusive; repeated rows give repeated results; extra columns are ignored.
+exclusive; repeated rows give repeated results; an empty table gives an empty result; a very long text
+is a block of its own (about 20 times its bytes); extra columns are ignored by ``report`` and stay in ``redacted``.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from . import automaton, textbuf
 
@@ -132,7 +134,9 @@ def report(spark: SparkSession, documents: DataFrame, *, doc_id: str = "doc_id",
 
 
 def redacted(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """The documents with each (merged) span replaced by its kind in angle brackets; other texts and columns stay."""
+    """The documents with each (merged) span replaced by its kind in angle brackets; other texts and columns stay,
+    but for ``n_chars``: where that is an int or a long, a changed text's length is put there (a null stays)."""
+    counted = any(f.name == "n_chars" and f.dataType in (IntegerType(), LongType()) for f in documents.schema.fields)
     bc = spark.sparkContext.broadcast(Scanner())
     names = documents.columns
 
@@ -152,7 +156,7 @@ def redacted(spark: SparkSession, documents: DataFrame) -> DataFrame:
                             pos = max(pos, e)
                         new[d] = b"".join([*out, texts[d][pos:]]).decode()
                 cols = [pa.array(new, b.schema.field("text").type) if c == "text" else b.column(c) for c in names]
-                if "n_chars" in names:
+                if counted:
                     i = names.index("n_chars")
                     counts = cols[i].to_pylist()
                     for d, spans in enumerate(found):

@@ -40,6 +40,13 @@ def small_batches(df):
     return df
 
 
+def unused(name: str, df) -> str:
+    """The name, lengthened until no column of the table has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds at most ``limit`` bytes, or one row."""
     for batch in batches:

@@ -2,6 +2,7 @@
 
 import bisect
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -58,16 +59,64 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in got.collect())
 
 
-def test_forward_algorithm_sums_all_segmentations():
-    model = op1_language.learn([("a", "banana ananas"), ("b", "tomato potato")], op1_language.vocabulary_path(), rounds=1)
+def _plain_score(model, text):
+    """The log probability of each language: every segmentation of every word, by plain recursion."""
     p = {t: model.prob[i] for i, t in enumerate(model.pieces.texts) if t}
 
+    @functools.cache
     def total(s):
-        return np.ones(2) if not s else sum(p[s[:k]] * total(s[k:]) for k in range(1, min(len(s), op1_language.PIECE_BYTES) + 1) if s[:k] in p)
+        return np.ones(len(model.languages)) if not s else sum(p[s[:k]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p)
+
+    return sum((np.log(total(b" " + w)) for w in op5_decontaminate.normalised(text) if re.search(rb"[a-z\x80-\xff]", w)), np.zeros(len(model.languages)))
 
-    data, offsets = textbuf.buffers(pa.array(["banana"]))
-    low, starts, lengths, _, _ = op1_language.units(data, offsets)
-    assert np.allclose(op1_language.log_scores(low, starts, lengths, model.pieces, model.prob)[0], np.log(total(b" banana")))
+
+def test_forward_algorithm_sums_all_segmentations():
+    model = op1_language.learn([("a", "banana ananas"), ("b", "tomato potato")], op1_language.vocabulary_path(), rounds=1)
+    for word in ("banana", "internationalisation", "Überraschung", "x" * 50):
+        data, offsets = textbuf.buffers(pa.array([word]))
+        low, starts, lengths, _, _ = op1_language.units(data, offsets)
+        assert np.allclose(op1_language.log_scores(low, starts, lengths, model.pieces, model.prob)[0], _plain_score(model, word))
+    assert max(model.pieces.lengths) > 20
+
+
+def test_long_words_are_parted_between_characters():
+    for text in ("日本語" * 100, "aé😀" * 60, "x" * 1000 + "é", "é" * 31 + "a"):
+        data, offsets = textbuf.buffers(pa.array(["a b", text]))
+        low, starts, lengths, code, doc = op1_language.units(data, offsets)
+        got = [low[starts[c] : starts[c] + lengths[c]].tobytes() for c, d in zip(code, doc, strict=True) if d == 1]
+        assert b"".join(got) == text.encode() and max(map(len, got)) <= op1_language.UNIT
+        assert all(x.decode() for x in got)
+
+
+def test_language_query_against_plain_scores(spark, sf, docs):
+    """Every row of the query, from the same model, by plain recursion."""
+    model = op1_language.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {r["doc_id"]: r for r in op1_language.op1(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for d, text in docs.items():
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+        elif max(map(len, op5_decontaminate.normalised(text)), default=0) < op1_language.UNIT - 3:
+            total = _plain_score(model, text)
+            post = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+            assert got[d]["lang_pred"] == model.languages[int(post.argmax())] and np.isclose(got[d]["score"], post.max(), atol=1e-6)
+
+
+def test_samples_are_bounded_and_whole(spark):
+    """However often an id or a row repeats, some texts of each language are learned, and no more than the bound."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    ids = [i for i in range(100) if not held(i)]
+    rows = [(ids[0], f"one id {k}", "aa") for k in range(3000)] + [(ids[k % 9], "the same row", "bb") for k in range(3000)] + [(i, f"text {i}", "cc") for i in ids]
+    rows += [(None, "no id", "dd"), (ids[1], None, "aa"), (ids[2], "no language", None), (next(i for i in range(99) if held(i)), "held out", "ee")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count = collections.Counter(lang for lang, _ in op1_language.sample(df, docs_per_lang=40))
+    assert set(count) == {"aa", "bb", "cc"} and 10 <= count["aa"] <= 40 and 1 <= count["bb"] <= 9 and 10 <= count["cc"] <= 40
+    some = op1_language.sample(df, docs_per_lang=40, bytes_per_lang=100)
+    assert all(0 < sum(len(t) for x, t in some if x == lang) <= 100 for lang in ("aa", "bb", "cc"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    got = collections.Counter(k for k, _ in op4_toxicity.sample(df.drop("lang"), labels, per_class=25))
+    assert set(got) == {0, 1} and max(got.values()) <= 25
 
 
 def test_shards_are_even_and_move_little(spark):
