@@ -10,19 +10,24 @@ shingle).  Two texts are linked if the Jaccard similarity of their sets reaches
    once, large ones are split into blocks.  In a bucket, MinHash values are compared in
    steps of 16; a pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold falls below ``TOLERANCE``.  A bucket emits a spanning forest of
-   the surviving pairs, never the pairs.
+   the surviving pairs, never the pairs; in a large one a class is compared only with those that
+   nothing ties to it yet, so near copies of each other cost little more than one look at each.
 4. The forests' connected components hold every pair that may be linked.  Each component is
-   dealt out as pairs of blocks; in each, pairs are pruned again and the rest are verified
-   on their exact shingle sets.  What leaves is, per class, the number of links and its
-   root: again no pairs.
+   dealt out as pairs of blocks, evenly over the partitions; in each, pairs are pruned again and
+   the rest are verified on their exact shingle sets.  What leaves is, per class, the number of
+   links and its root: again no pairs.  Texts outside the candidates do not move: they are left
+   out by the scan, by a join with the candidates where those are few, else by bitmaps of at most 64 MB.
 5. The components of the verified links are the near-duplicate classes.
 
-A pair at exactly the threshold shares no band with probability 3e-6, less above it.  The
-cost of step 4 is quadratic only in the different texts of one group of near copies.
+A pair at exactly the threshold shares no band with probability 3e-6, less above it.  As every
+class gets its number of links, step 4 is quadratic in the different texts of one group of near
+copies (m**2 / 2 comparisons; each text is sent to m / 256 tasks up to 16,384 texts, then to 64, and
+beyond 131,072 to m / 2,048).  Classes are joined by the first 64 bits of their key.
 
 Edge cases: texts without words (null, empty, signs only) are classes of their own without
 links; copies link to each other (J = 1) and count; repeated rows count as copies; an empty
-table gives an empty result; extra columns are ignored.  A row is known by its id and text (two
+table gives an empty result; a very long text is a block of its own (about 45 times its bytes); extra
+columns are ignored by ``classes`` and stay, whatever their names, in ``deduplicated``.  A row is known by its id and text (two
 64-bit hashes of both), so rows that share an id, or have none, are linked and removed by
 their own texts; a class without any id has a null ``class_id``.
 """
@@ -51,6 +56,8 @@ TOLERANCE = 1e-6
 BLOCK = 256
 BLOCK_WORDS = 400_000
 SMALL_TABLE = 500_000  # ids that may be broadcast: 8 MB
+LARGE_GROUP = 64  # classes of a bucket beyond which they are not compared all with all
+MOST_BITS = 29  # of the bitmaps: 64 MB
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +185,23 @@ def pairs(group: np.ndarray, side: np.ndarray, cross: np.ndarray, sig: np.ndarra
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def tied(sig: np.ndarray) -> np.ndarray:
+    """A row of each row's component under the surviving pairs: every row is compared with the rows not reached yet."""
+    root = np.arange(len(sig))
+    left = np.arange(len(sig))
+    while len(left):
+        seed, left = left[0], left[1:]
+        reached = [seed]
+        while reached and len(left):
+            x = reached.pop()
+            some = prune(sig, np.broadcast_to(x, len(left)), left)
+            if len(some):
+                root[left[some]] = seed
+                reached.extend(left[some].tolist())
+                left = np.delete(left, some)
+    return root
+
+
 def roots(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The row of smallest ``order`` in each row's component."""
     parent = list(range(n))
@@ -298,13 +322,21 @@ _GROUP = ["grp", "bi", "bj"]
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _grouped(batches, _GROUP, 1 << 14):
-        node = t.column("node").to_numpy()
+        node, sig = t.column("node").to_numpy(), _sig(t)
+        group = _group_numbers(t, _GROUP)
+        size = np.bincount(group)
+        small = np.flatnonzero(size[group] <= LARGE_GROUP)
         cross = t.column("bi").to_numpy() != t.column("bj").to_numpy()
-        i, j = pairs(_group_numbers(t, _GROUP), t.column("blk").to_numpy(), cross, _sig(t))
+        i, j = pairs(group[small], t.column("blk").to_numpy()[small], cross[small], sig[small])
         # rows of different groups never meet in a pair, so one forest serves all groups
-        root = roots(len(node), i, j, node)
-        tied = np.flatnonzero(node != node[root])
-        yield pa.RecordBatch.from_pydict({"a": pa.array(node[tied]), "b": pa.array(node[root[tied]])})
+        root = np.arange(len(node))
+        root[small] = small[roots(len(small), i, j, node[small])]
+        ends = np.cumsum(size)
+        for g in np.flatnonzero(size > LARGE_GROUP).tolist():
+            lo, hi = int(ends[g] - size[g]), int(ends[g])
+            root[lo:hi] = lo + tied(sig[lo:hi])
+        some = np.flatnonzero(node != node[root])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(node[some]), "b": pa.array(node[root[some]])})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +367,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"node": pa.array(node[some]), "root": pa.array(node[root[some]]), "links": pa.array(links[some])})
 
 
+def _blocks(count: str, least: int, most: int) -> str:
+    """SQL of the number of blocks: of ``least`` members up to 64 blocks, beyond that of up to ``most``."""
+    return f"least(ceil({count} / {least}), greatest(64, ceil({count} / {most})))"
+
+
 def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
-    """Each row once for every block that its own block meets: groups (grp, bi <= bj)."""
+    """Each row once for every block that its own block meets: groups (grp, bi <= bj), numbered by ``task``."""
     mine = rows.withColumn("blk", F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)")).withColumn("other", F.expr(f"explode(sequence(0, cast({blocks} as int) - 1))"))
-    return mine.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other")
+    met = mine.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other")
+    return met.withColumn("task", F.expr("xxhash64(grp) + cast(bj as long) * (bj + 1) div 2 + bi"))
+
+
+def _among(docs: DataFrame, side: DataFrame, n: int) -> DataFrame:
+    """The rows whose id1 may be one of the n of ``side``: all of these and few others, found by broadcast bitmaps."""
+    bits = min(MOST_BITS, max(20, (16 * n).bit_length()))
+    place = lambda c: F.pmod(c, F.lit(1 << bits))
+    marks = side.select(place(F.col("rep.id1")).alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.expr("cast(p % 32768 div 8 as int) + 1"), F.lit(1))), 16, 10).cast("long")
+    held = docs.withColumn("p", place(F.col("id1"))).join(F.broadcast(marks), (F.expr("p div 32768") == F.col("part")) & (F.pmod(byte * F.lit(1), F.expr("shiftleft(2L, cast(p % 8 as int))")) >= F.expr("shiftleft(1L, cast(p % 8 as int))")), "left_semi")
+    return held.drop("p")
 
 
 def _identity(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
@@ -351,6 +399,7 @@ def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """One row per document: doc_id, id1, id2, class_id, n_links, n_copies, and whether it is its class's root
     (the smallest id, ids before none; of its rows one text)."""
     docs = documents.select(documents[doc_id].cast("long").alias("doc_id"), documents[text].alias("text"), *[v.alias(k) for k, v in _identity(documents, doc_id, text).items()])
+    spark = documents.sparkSession
     signed = storage.stored(textbuf.small_batches(docs).mapInArrow(_signer, "doc_id long, id1 long, id2 long, k1 long, k2 long, n_words long, sig binary, bands array<long>"), "signed")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id1", "id2")
     reps = storage.stored(
@@ -362,20 +411,24 @@ def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     banded = reps.select("node", F.explode("bands").alias("grp"))
     buckets = banded.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("x")).filter("m > 1")
     kept = buckets.groupBy("m", "lo", "hi", "x").agg(F.min("grp").alias("grp")).select("grp", "m")
-    members = _dealt(banded.join(kept, "grp"), "ceil(m / 512)")
+    members = _dealt(banded.join(kept, "grp"), _blocks("m", 512, 8192))
     sent = members.join(reps.select("node", "sig"), "node").select(*_GROUP, "blk", "node", "sig")
     forest = sent.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_forests, "a long, b long").distinct()
     forest = storage.stored(forest, "forest")
     joined = storage.stored(connected_components(forest).select(F.col("id").alias("node"), F.col("component").alias("grp")), "candidates")
 
     held = joined.join(reps.select("node", "rep", "copies", "n_words", "sig"), "node")
-    sizes = held.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w")).select("grp", F.expr(f"greatest(ceil(m / {BLOCK}), ceil(w / {BLOCK_WORDS}))").alias("blocks"))
+    sizes = held.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w")).select("grp", F.expr(f"greatest({_blocks('m', BLOCK, 8 * BLOCK)}, ceil(w / {BLOCK_WORDS}))").alias("blocks"))
     held = held.join(sizes, "grp").drop("n_words")
     n = joined.count()
-    side = F.broadcast(held) if n <= SMALL_TABLE // 10 else held
-    texts = docs.join(side, (docs["id1"] == F.col("rep.id1")) & (docs["id2"] == F.col("rep.id2"))).select("grp", "node", "copies", "blocks", "sig", "text")
-    groups = _dealt(texts, "blocks").select(*_GROUP, "blk", "node", "copies", "sig", "text")
-    links = storage.stored(groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_verified, "node long, root long, links long"), "links")
+    few = n <= SMALL_TABLE // 10
+    side = F.broadcast(held) if few else held
+    texts = (docs if few else _among(docs, held, n)).join(side, (docs["id1"] == F.col("rep.id1")) & (docs["id2"] == F.col("rep.id2"))).select("grp", "node", "copies", "blocks", "sig", "text")
+    groups = _dealt(texts, "blocks").select(*_GROUP, "blk", "task", "node", "copies", "sig", "text")
+    # the block pairs of a group are numbered without gaps, so they go to partitions in turn
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions(*_GROUP, "node").drop("task")
+    links = storage.stored(groups.mapInArrow(_verified, "node long, root long, links long"), "links")
 
     per_node = links.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("part"))

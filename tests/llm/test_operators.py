@@ -377,6 +377,39 @@ def test_large_group_of_near_copies(spark):
     assert [got[i] for i in range(700)] == want
 
 
+def test_large_buckets_tie_as_all_pairs_do():
+    r = np.random.default_rng(6)
+    for share in (0.0, 0.5, 0.9, 1.0):
+        base = r.integers(0, 256, (3, op8_jaccard.HASHES))
+        sig = np.where(r.random((300, op8_jaccard.HASHES)) < share, base[r.integers(0, 3, 300)], r.integers(0, 256, (300, op8_jaccard.HASHES))).astype(np.uint8)
+        i, j = np.triu_indices(300, 1)
+        keep = op8_jaccard.prune(sig, i, j)
+        want = op8_jaccard.roots(300, i[keep], j[keep], np.arange(300))
+        assert (op8_jaccard.tied(sig) == want).all()
+
+
+def test_jaccard_join_of_many_candidates(spark, sf, monkeypatch):
+    """The way of large candidate sets: bitmaps keep other texts from moving, and the rows are the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = op8_jaccard.classes(spark, docs).toPandas()
+    plans, among = [], op8_jaccard._among
+
+    def watched(held, side, n):
+        out = among(held, side, n)
+        plans.append(out)
+        return out
+
+    monkeypatch.setattr(op8_jaccard, "SMALL_TABLE", 0)
+    monkeypatch.setattr(op8_jaccard, "_among", watched)
+    monkeypatch.setattr(op8_jaccard, "LARGE_GROUP", 2)
+    same(op8_jaccard.classes(spark, docs).toPandas(), want)
+    kept, plan = plans[0], plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    # documents with a near copy, and few others, are left
+    linked = (want["n_links"] >= want["n_copies"]).sum()
+    assert linked <= kept.count() <= linked + 20 + (want["n_copies"] > 1).sum()
+
+
 def test_fewest_matches_follow_the_posterior():
     for n, m in op8_jaccard._LEAST:
         t = 0.8 + 0.2 / 256
