@@ -13,33 +13,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Alternates two steps until nothing changes: each node ties its larger neighbours to its
     smallest neighbour, then its smaller ones.  Every step is a grouped minimum (combined
-    before the shuffle) and an equi-join that adaptive execution may split, so a hub costs no
-    single task; the number of rounds grows with the logarithm of the longest path.  Each
-    round's edges are written to the shared folder.  Null ends are ignored.
+    before the shuffle) and an equi-join; the minima are written first, so that the join's sides come
+    straight from their shuffles and adaptive execution may split a hub's.  The number of rounds grows
+    with the logarithm of the longest path.  Each round's edges are written to the shared folder.
+    Null ends are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null")
     alone = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
     alone = storage.stored(alone, "ids")
     e = storage.stored(e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
-        if _settled(e):
-            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") < F.col("a")).alias("down"), F.count_if(F.col("b") > F.col("a")).alias("up"))
+        least = storage.stored(least, "least")
+        # stars around their smallest ids: whoever has a smaller neighbour has no other
+        if not least.filter((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") > 0))).limit(1).count():
+            storage.dropped(least)
+            break
+        large = both.filter("b > a").join(least.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         new = storage.stored(tied.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
         storage.dropped(e)
+        storage.dropped(least)
         e = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return alone.join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _settled(e: DataFrame) -> bool:
-    """Whether the edges (larger end a) are stars: every a has one b, and no b is an a."""
-    if e.groupBy("a").count().filter("count > 1").limit(1).count():
-        return False
-    centres = e.select(F.col("b").alias("a")).distinct()
-    return not e.join(centres, "a", "left_semi").limit(1).count()
