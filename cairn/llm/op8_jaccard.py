@@ -456,18 +456,20 @@ def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
     Rows go by their own id and text; texts without words all stay.
     """
     found = storage.stored(_classed(documents), "classes")
-    gone = found.filter("not is_root").select(F.col("id1").alias("_gone1"), F.col("id2").alias("_gone2")).distinct()
+    one, two = textbuf.unused("_id1", documents), textbuf.unused("_id2", documents)
+    pair = [F.col("id1").alias(one), F.col("id2").alias(two)]
+    own = list(_identity(documents).values())
+    gone = found.filter("not is_root").select(*pair).distinct()
     if found.filter("not is_root").count() <= SMALL_TABLE:
         gone = F.broadcast(gone)
-    own = list(_identity(documents).values())
-    out = documents.join(gone, (own[0] == F.col("_gone1")) & (own[1] == F.col("_gone2")), "left_anti")
-    doubled = storage.stored(found.filter("is_root and n_copies > 1").groupBy(F.col("id1").alias("_twice1"), F.col("id2").alias("_twice2")).count().filter("count > 1").drop("count"), "doubled")
+    out = documents.join(gone, (own[0] == gone[one]) & (own[1] == gone[two]), "left_anti")
+    doubled = storage.stored(found.filter("is_root and n_copies > 1").groupBy(*pair).count().filter("count > 1").drop("count"), "doubled")
     n = doubled.count()
     if not n:
         return out
     doubled = F.broadcast(doubled) if n <= SMALL_TABLE else doubled
-    twice = (own[0] == F.col("_twice1")) & (own[1] == F.col("_twice2"))
-    once = out.join(doubled, twice, "left_semi").withColumns({"_own1": own[0], "_own2": own[1]}).dropDuplicates(["_own1", "_own2"]).drop("_own1", "_own2")
+    twice = (own[0] == doubled[one]) & (own[1] == doubled[two])
+    once = out.join(doubled, twice, "left_semi").withColumns({one: own[0], two: own[1]}).dropDuplicates([one, two]).drop(one, two)
     return out.join(doubled, twice, "left_anti").unionByName(once)
 
 

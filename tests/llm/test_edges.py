@@ -5,13 +5,19 @@ import pytest
 from cairn.llm import op1_language, op2_shard, op3_fingerprint, op4_toxicity, op5_decontaminate, op6_sentencepiece, op7_tokens, op8_jaccard, op9_secrets, op10_binary
 from cairn.plans import storage
 
-from .texts import BENCHMARK, LABELS, awkward
+from .texts import BENCHMARK, LABELS, awkward, clashing
 
 
 def run(name, spark, docs):
     bench = spark.createDataFrame([(0, "a"), (1, None), (2, ""), (3, "one two three"), (3, "one two three")], BENCHMARK)
     if name == "op1":
         return op1_language.predict(spark, docs, op1_language.train(docs))
+    if name == "op1 accepted":
+        return op1_language.accepted(spark, docs)
+    if name == "op8 deduplicated":
+        return op8_jaccard.deduplicated(spark, docs)
+    if name == "op5 decontaminated":
+        return op5_decontaminate.decontaminate(spark, docs, bench)
     if name == "op2":
         return op2_shard.sharded(docs, [1.0] * 16)
     if name == "op3":
@@ -39,6 +45,7 @@ def run(name, spark, docs):
     return op10_binary.read(op10_binary.write(spark, docs, folder, rows_per_shard=5), folder)
 
 
+KEEPING = ["op1 accepted", "op8 deduplicated", "op5 decontaminated", "op5 removed", "op9 redacted"]
 NAMES = ["op1", "op2", "op3", "op3 fingerprinted", "op4", "op5", "op5 removed", "op6", "op7", "op8", "op9", "op9 redacted", "op10"]
 
 
@@ -48,7 +55,34 @@ def test_awkward_rows(spark, name):
     assert run(name, spark, docs).count() == docs.count()
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", KEEPING)
+def test_whole_rows_stay(spark, name):
+    """Columns of any name and type pass through the filtering operators; what is dropped is dropped for its text."""
+    docs = clashing(spark)
+    got = run(name, spark, docs)
+    assert got.schema == docs.schema
+    rows = [tuple(r) for r in got.collect()]
+    index = docs.columns.index("text")
+    if name == "op8 deduplicated":  # one row of each text with words, all without
+        want = [tuple(r) for r in docs.collect() if not (r[0] == 11 and r[index] == "a plain text that is here twice")]
+        assert sorted(map(str, rows)) == sorted(map(str, want))
+    elif name == "op1 accepted":
+        assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in docs.collect() if any(c.isalpha() for c in r[index] or ""))
+    else:
+        hit = (lambda t: "a" in t.split() or "one two three" in t) if name.startswith("op5") else (lambda t: "hunter22" in t)
+        want = [tuple(r) for r in docs.collect() if not hit(r[index] or "")]
+        same = [r for r in rows if str(r) in set(map(str, want))]
+        assert sorted(map(str, same)) == sorted(map(str, want))
+        assert len(rows) == (len(want) if name == "op5 decontaminated" else docs.count())
+
+
+@pytest.mark.parametrize("name", [n for n in KEEPING if n not in NAMES])
+def test_awkward_rows_are_filtered(spark, name):
+    docs = awkward(spark)
+    assert 0 < run(name, spark, docs).count() < docs.count()
+
+
+@pytest.mark.parametrize("name", [*NAMES, *KEEPING[:3]])
 def test_no_rows(spark, name):
     assert run(name, spark, awkward(spark, empty=True)).count() == 0
 

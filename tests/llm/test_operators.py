@@ -1,13 +1,17 @@
 """Operators against brute-force versions, exact round trips and held-out accuracy."""
 
+import base64
 import bisect
 import collections
 import functools
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -155,6 +159,87 @@ def test_range_buckets_of_one_id_and_of_none(spark):
     assert [r["b"] for r in order] == sorted(r["b"] for r in got)
 
 
+def test_shards_of_repeated_and_missing_keys(spark):
+    """The SQL's rows where ids repeat or are missing, and many hash buckets for the texts of one key."""
+    rows = [(None, f"text {i}") for i in range(300)] + [(1, "same")] * 50 + [(2, None)] * 3 + [(3, "é"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])}))
+    got = op2_shard.sharded(df, [1.0] * 16).withColumn("doc_id", F.col("doc_id").cast("string")).toPandas()
+    same(got, con.sql(f"select * replace (cast(doc_id as varchar) as doc_id) from ({op2_shard.OP2_SQL})").df())
+    plan = op2_shard.sharded(df, [1.0] * 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    r = random.Random(2)
+    texts = [bytes(r.choice(b"abcdefgh \n") for _ in range(n)) for n in (10, 64, 500, 3000, 1024, 1025, 0, 9000)]
+    block = textbuf.buffers(pa.array(texts, pa.binary()))
+    whole = op3_fingerprint.filters(*block)
+    for size in (64, 512, 1000):
+        monkeypatch.setattr(op3_fingerprint, "PIECE_BYTES", size)
+        monkeypatch.setattr(op3_fingerprint, "PAIRS_AT_ONCE", 3)
+        some = op3_fingerprint.filters(*block)
+        assert [some.text(d) for d in range(len(texts))] == [whole.text(d) for d in range(len(texts))]
+        assert op3_fingerprint.likeness(some, 7, some, 7) == 1.0
+
+
+def _likeness(a, b):
+    """Of two fingerprint strings, bit by bit."""
+    (n, x), (m, y) = ((int(f.split(":")[0]), base64.b64decode(f.split(":")[1])) for f in (a, b))
+    if not n or not m:
+        return float(n == m)
+    split = lambda z: [int.from_bytes(z[i : i + 256], "little") for i in range(0, len(z), 256)]
+    x, y = split(x), split(y)
+    if (len(y), m) < (len(x), n):
+        n, x, y = m, y, x
+    total = 0.0
+    for k, f in enumerate(x):
+        best = 0.0
+        for g in y:
+            p, q = f.bit_count(), g.bit_count()
+            chance, most = p * q / 2048, min(p, q)
+            cut = chance + 0.3 * (most - chance)
+            best = max(best, min(1.0, max(0.0, ((f & g).bit_count() - cut) / max(most - cut, 1e-9))))
+        total += best * (160 if k < len(x) - 1 else n - 160 * (len(x) - 1))
+    return total / n
+
+
+def test_fingerprint_bits_and_likeness(spark, sf, docs):
+    """Bloom bits from the features' hashes one by one, and both likenesses of the query from the strings."""
+    for text in [*list(docs.values())[:20], "short", "é" * 40, "x" * 9000]:
+        data, offsets = textbuf.buffers(pa.array([text]))
+        h, _ = op3_fingerprint._features(data, offsets)
+        h = list(dict.fromkeys(h.tolist()))
+        bits = [0] * -(-len(h) // 160)
+        for i, x in enumerate(h):
+            for k in range(5):
+                bits[i // 160] |= 1 << (x >> 11 * k) % 2048
+        want = f"{len(h)}:" + base64.b64encode(b"".join(b.to_bytes(256, "little") for b in bits)).decode()
+        assert op3_fingerprint.filters(data, offsets).text(0) == want
+    got = {r["doc_id"]: r for r in op3_fingerprint.op3(spark, sf).collect()}
+    order = sorted(docs, reverse=True)
+    for d, after in zip(order, order[1:] + order[:1], strict=True):
+        assert got[d]["n_chars"] == len(docs[d])
+        assert np.isclose(got[d]["near_edited"], _likeness(got[d]["fingerprint"], got[d]["edited_fingerprint"]))
+        assert np.isclose(got[d]["near_next"], _likeness(got[d]["fingerprint"], got[after]["fingerprint"]))
+
+
+def test_repeated_ids_follow_each_other(spark):
+    """One id, or none, over several buckets: every row has one next, and all form one ring."""
+    rows = [(None if i < 40 else 7 if i < 90 else i, f"text number {i} " * 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert op3_fingerprint.neighbours(df, 10).select("bucket").distinct().count() > 6
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    got = collections.Counter((r["doc_id"], r["edited_sha256"]) for r in op3_fingerprint.neighbours(df, 10).mapInArrow(op3_fingerprint._report, schema).collect())
+    hashed = {(r["doc_id"], r["text"]): r["h"] for r in df.withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r]), reverse=True)
+    want = collections.Counter()
+    for (d, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        want[d, hashlib.sha256(op3_fingerprint.edited(t, after).encode()).hexdigest()] += 1
+    assert got == want
+
+
 def test_selected_features():
     r = random.Random(1)
     texts = [bytes(r.choice(b"abcdefgh \n") for _ in range(n)) for n in (64, 65, 127, 128, 400, 700)] + [b"a" * 200, b"", b"abc"]
@@ -246,6 +331,48 @@ def test_toxicity_held_out():
     assert op4_toxicity.learn([(0, "a b")]) is None
 
 
+def _plain_toxicity(net, text):
+    """The score of a text: each window word by word, both directions, attention, the largest logit."""
+    p, H, T = {k: v.astype(np.float64) for k, v in net.p.items()}, op4_toxicity.HIDDEN, op4_toxicity.T
+    known = {int(h): i + 1 for i, h in enumerate(net.vocabulary)}
+
+    def vector(word):
+        _, _, _, h = textbuf.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        marked = b"^" + word + b"$"
+        code = [(int.from_bytes(marked[i : i + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - op4_toxicity.GRAM_BITS for i in range(len(word))]
+        return net.word[known.get(int(h[0]), 0)] + net.gram[code].astype(np.float64).mean(axis=0)
+
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    words, logits = [vector(w) for w in op5_decontaminate.normalised(text)], []
+    for lo in range(0, max(1, len(words) - T + op4_toxicity.STRIDE), op4_toxicity.STRIDE) if words else []:
+        x = words[lo : lo + T]
+        states = np.zeros((len(x), 2 * H))
+        for d in (0, 1):
+            h = np.zeros(H)
+            for t in range(len(x))[:: 1 - 2 * d]:
+                g, u = x[t] @ p["W"][d] + p["b"][d], h @ p["U"][d]
+                z, r = sigmoid(g[:H] + u[:H]), sigmoid(g[H : 2 * H] + u[H : 2 * H])
+                h = (1 - z) * np.tanh(g[2 * H :] + r * u[2 * H :]) + z * h
+                states[t, d * H : d * H + H] = h
+        a = np.exp(states @ p["v"] - (states @ p["v"]).max())
+        logits.append((a / a.sum()) @ states @ p["o"] + p["c"][0])
+    return sigmoid(net.slope * max(logits) + net.shift) if logits else 0.0
+
+
+def test_toxicity_query_against_plain_passes(spark, sf, docs):
+    """Every row of the query, from the same network, window by window."""
+    tables = [spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels")]
+    net = op4_toxicity.learn(op4_toxicity.sample(*tables))
+    got = {r["doc_id"]: r for r in op4_toxicity.op4(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for d, text in docs.items():
+        assert np.isclose(got[d]["score"], _plain_toxicity(net, text), atol=1e-4)
+        assert got[d]["predicted"] == (got[d]["score"] >= 0.7) and got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1)
+    truth = {r["doc_id"]: r["toxic"] for r in tables[1].collect()}
+    held = [d for d in docs if got[d]["held_out"] and truth.get(d) is not None]
+    assert held and np.mean([got[d]["predicted"] == truth[d] for d in held]) > 0.8  # few rows to learn from
+
+
 def test_window_logits_agree_with_the_training_pass():
     data, offsets = textbuf.buffers(pa.array([" ".join(f"w{i % 17}" for i in range(n)) for n in (1, 5, 32, 33, 90)]))
     w = op4_toxicity.prepared(data, offsets)
@@ -269,6 +396,23 @@ def test_benchmark_blocks_give_the_same_report(spark, sf):
     assert clean == {r[0] for r in op5_decontaminate.decontaminate(spark, docs, bench, limit=2000).select("doc_id").collect()}
 
 
+def test_a_large_benchmark_takes_little_memory():
+    """4 MB of benchmark text: the set is about four times that, and building it takes little more."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 8))) for _ in range(5000)]
+    texts = [" ".join(r.choices(vocabulary, k=200)) for _ in range(3500)]
+    size = sum(map(len, texts))
+    items = pa.table({"item": [str(i) for i in range(len(texts))], "text": texts})
+    tracemalloc.start()
+    grams = op5_decontaminate.Grams(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(grams)) < 5 * size and peak < 16 * size
+    block = textbuf.buffers(pa.array([texts[7][:900].upper(), "nothing of it", " ".join(texts[9].split()[:13])]))
+    _, spans, found = op5_decontaminate.scan_block(*block, grams, {k: grams.bitmap(k) for k in grams.sets})
+    assert found == [{"7"}, set(), {"9"}] and op5_decontaminate.merge(spans[2]) == [(0, 13)]
+
+
 def test_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, "Keep, one TWO three; and four five. End"), (2, None), (3, "two three")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "one two three"), (2, "four five")], "item_id long, text string")
@@ -450,6 +594,30 @@ def test_automata_are_minimal_and_right():
     assert len(automaton.compile_rules([automaton.parse("(a|b)c|ac|bc")], search=False).table) == 4
 
 
+def test_counts_and_ids_of_the_queries(spark, sf, docs):
+    """Columns of op6 and op7 against the libraries on whole texts."""
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=op6_sentencepiece.model_path())
+    got = {r["doc_id"]: r for r in op6_sentencepiece.op6(spark, sf).collect()}
+    count = {r["doc_id"]: r for r in op7_tokens.op7(spark, sf).collect()}
+    assert set(got) == set(count) == set(docs)
+    tokenizer = op7_tokens.load(op7_tokens.tokenizer_path())
+    for d, text in docs.items():
+        ids = theirs.encode(text or "")
+        assert (got[d]["n_ids"], got[d]["round_trip"], got[d]["ids_crc32"]) == (len(ids), theirs.decode(ids) == (text or ""), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        n = len(tokenizer.encode(text or "", add_special_tokens=False))
+        assert (count[d]["n_bytes"], count[d]["n_tokens"], count[d]["over_limit"]) == (len((text or "").encode()), n, n > 512)
+
+
+def test_differences_from_sentencepiece_are_errors():
+    ours = op6_sentencepiece.Codec(op6_sentencepiece.model_path())
+    ids, sizes = ours.encode(pa.array(["one two", None, "drei"]))
+    assert ours.decode(ids, sizes) == [b"one two", b"", b"drei"]
+    with pytest.raises(ValueError, match="otherwise"):
+        ours._checked([b" the", b" cat"], np.array([5, 6], np.uint32), np.array([1, 1]))
+
+
 def test_binary_round_trip(spark, sf, docs, tmp_path):
     folder = f"file://{tmp_path}/ids"
     manifest = op10_binary.write(spark, spark.read.parquet(f"{sf}/documents.parquet"), folder, rows_per_shard=40)
@@ -463,6 +631,27 @@ def test_binary_round_trip(spark, sf, docs, tmp_path):
     key = int(reader.keys[3])
     assert reader.get(key).tolist() == [*t.encode(docs[key], add_special_tokens=False).ids, 2]
     assert sum(reader.get(10**9 + i) is not None for i in range(200)) == 0
+    store = op10_binary.Store(folder)
+    for d in [*sorted(docs), -1, 10**9]:
+        want = [*t.encode(docs[d], add_special_tokens=False).ids, 2] if d in docs else None
+        assert (None if want is None else store.get(d).tolist()) == want
+    assert len(store.open) == manifest.count() > 3
+    store.close()
+
+
+def test_keys_in_several_shards(spark, tmp_path):
+    rows = [(None if i < 30 else 7 if i < 80 else i, f"text {i}") for i in range(100)]
+    folder = f"{tmp_path}/ids"  # a folder without a scheme lies in the default file system
+    manifest = op10_binary.write(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder, rows_per_shard=10)
+    got = op10_binary.read(manifest, folder).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(d for d, _ in rows)
+    assert manifest.filter("first_key = 7 or last_key = 7").count() > 3
+    store = op10_binary.Store(op10_binary.qualified(spark, folder))
+    t = op7_tokens.load(op7_tokens.tokenizer_path())
+    assert store.get(95).tolist() == [*t.encode("text 95").ids, 2] and store.get(81).tolist() == [*t.encode("text 81").ids, 2]
+    assert store.get(7).tolist() in [[*t.encode(f"text {i}").ids, 2] for i in range(30, 80)] and store.get(200) is None
+    with pytest.raises(ValueError, match="no file system"):
+        op10_binary.Store(folder)
 
 
 def test_perfect_hash_is_minimal():

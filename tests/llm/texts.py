@@ -16,5 +16,13 @@ def awkward(spark, empty=False):
     return spark.createDataFrame([] if empty else rows, SCHEMA)
 
 
+def clashing(spark):
+    """Rows with columns that the operators use themselves, of other types."""
+    texts = [None, "...", "one two three password = hunter22", "one two three", "a plain text that is here twice", "another text, of another row"]
+    rows = [(i, t, "en", i + 0.5, "x", [i], "12 chars", i, "p", "i", True) for i, t in enumerate(texts)]
+    rows += [(11, texts[4], "en", 1.5, "y", [], None, None, "q", "j", False), (None, "a text without an id", None, None, None, None, None, None, None, None, None), (None, "and another one", None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, _hits array<int>, n_chars string, id1 long, p string, _gone1 string, _score boolean")
+
+
 LABELS = "doc_id long, quality int, toxic int"
 BENCHMARK = "item_id long, text string"
