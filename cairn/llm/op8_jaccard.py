@@ -379,6 +379,12 @@ def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
     return met.withColumn("task", F.expr("xxhash64(grp) + cast(bj as long) * (bj + 1) div 2 + bi"))
 
 
+def _in_turn(dealt: DataFrame) -> DataFrame:
+    """Rows sorted by group and node; the block pairs of a group, numbered without gaps, go to partitions in turn."""
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions(*_GROUP, "node").drop("task")
+
+
 def _among(docs: DataFrame, side: DataFrame, n: int) -> DataFrame:
     """The rows whose id1 may be one of the n of ``side``: all of these and few others, found by broadcast bitmaps."""
     bits = min(MOST_BITS, max(20, (16 * n).bit_length()))
@@ -399,7 +405,6 @@ def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """One row per document: doc_id, id1, id2, class_id, n_links, n_copies, and whether it is its class's root
     (the smallest id, ids before none; of its rows one text)."""
     docs = documents.select(documents[doc_id].cast("long").alias("doc_id"), documents[text].alias("text"), *[v.alias(k) for k, v in _identity(documents, doc_id, text).items()])
-    spark = documents.sparkSession
     signed = storage.stored(textbuf.small_batches(docs).mapInArrow(_signer, "doc_id long, id1 long, id2 long, k1 long, k2 long, n_words long, sig binary, bands array<long>"), "signed")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id1", "id2")
     reps = storage.stored(
@@ -412,8 +417,8 @@ def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     buckets = banded.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("x")).filter("m > 1")
     kept = buckets.groupBy("m", "lo", "hi", "x").agg(F.min("grp").alias("grp")).select("grp", "m")
     members = _dealt(banded.join(kept, "grp"), _blocks("m", 512, 8192))
-    sent = members.join(reps.select("node", "sig"), "node").select(*_GROUP, "blk", "node", "sig")
-    forest = sent.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_forests, "a long, b long").distinct()
+    sent = _in_turn(members.join(reps.select("node", "sig"), "node").select(*_GROUP, "blk", "task", "node", "sig"))
+    forest = sent.mapInArrow(_forests, "a long, b long").distinct()
     forest = storage.stored(forest, "forest")
     joined = storage.stored(connected_components(forest).select(F.col("id").alias("node"), F.col("component").alias("grp")), "candidates")
 
@@ -425,10 +430,7 @@ def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     side = F.broadcast(held) if few else held
     texts = (docs if few else _among(docs, held, n)).join(side, (docs["id1"] == F.col("rep.id1")) & (docs["id2"] == F.col("rep.id2"))).select("grp", "node", "copies", "blocks", "sig", "text")
     groups = _dealt(texts, "blocks").select(*_GROUP, "blk", "task", "node", "copies", "sig", "text")
-    # the block pairs of a group are numbered without gaps, so they go to partitions in turn
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions(*_GROUP, "node").drop("task")
-    links = storage.stored(groups.mapInArrow(_verified, "node long, root long, links long"), "links")
+    links = storage.stored(_in_turn(groups).mapInArrow(_verified, "node long, root long, links long"), "links")
 
     per_node = links.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("part"))
