@@ -12,6 +12,11 @@ def within(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) <= tolerance
 
 
+def sequences_within(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether two arrays have as many elements, pair by pair no farther apart than the tolerance."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: within(x, y, tolerance)), lambda x: F.coalesce(x, F.lit(False)))
+
+
 def ulp_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Representable numbers between two arrays, as unsigned integers; not a number is farthest from all."""
     kind = np.uint64 if a.dtype == np.float64 else np.uint32

@@ -205,6 +205,13 @@ def triangle_area_3d(a: Vec, b: Vec, c: Vec) -> Column:
     return norm(cross(sub(b, a), sub(c, a))) / 2
 
 
+def same_ring(a: Column, b: Column) -> Column:
+    """Whether two arrays of vertices are the same polygon: equal after turning one of them."""
+    n = F.size(a)
+    turned = lambda k: F.concat(F.slice(a, k + 1, n - k), F.slice(a, 1, k)) == b
+    return F.when(n != F.size(b), F.lit(False)).when(n == 0, F.lit(True)).otherwise(F.exists(F.sequence(F.lit(0), n - 1), turned))
+
+
 def patch_metric(n1: Vec, n2: Vec, p1: Vec, p2: Vec, resolution: float, weight: float = 0.4) -> Column:
     """Difference of two oriented points: of direction, and of place in units of the resolution."""
     return 1 - F.abs(dot(n1, n2)) + weight * distance(p1, p2) / resolution

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,16 @@ def times_vector(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(right, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("q")).alias("v"))
 
 
+def vector_times(x: DataFrame, a: DataFrame) -> DataFrame:
+    """(j, v) of a vector (i, v) times a matrix."""
+    left = x.select("i", F.col("v").alias("q"))
+    return a.join(left, "i").groupBy("j").agg(F.sum(F.col("v") * F.col("q")).alias("v"))
+
+
+def identity(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+
+
 def scaled(a: DataFrame, k: float) -> DataFrame:
     return a.select("i", "j", (F.col("v") * k).alias("v"))
 
@@ -45,6 +55,10 @@ def swap_rows(a: DataFrame, p: int, q: int) -> DataFrame:
     return a.select(F.when(F.col("i") == p, F.lit(q)).when(F.col("i") == q, F.lit(p)).otherwise(F.col("i")).alias("i"), "j", "v")
 
 
+def swap_columns(a: DataFrame, p: int, q: int) -> DataFrame:
+    return transpose(swap_rows(transpose(a), p, q))
+
+
 def shape_tests(a: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """One row: is the matrix symmetric, and is it an upper Hessenberg matrix (missing entries are 0)?"""
     t = transpose(a).withColumnRenamed("v", "t")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import equality
 from ..functions import geometry as g
 from ..functions import metrics as m
 from ..operators import matrices
@@ -188,6 +189,21 @@ def polygon_clean(spark, sf):
     return c.withColumn("m", F.count(F.lit(1)).over(all_)).filter("m >= 3").select("label", "pid", "x", "y")
 
 
+_RINGS = f"with {PTS}, a as (select label, list(round(x, 2) + 0.0 order by pid) as a, list(round(x, 2) + 0.0 order by (pid + label) % 500, pid) as b from pts group by label), n as (select *, len(a) as n, case when label % 2 = 0 then a[2 :] || a[: 1] else b end as o from a)"
+
+
+@query("cyclic_equality", f"{_RINGS} select label, n = len(o) and list_bool_or(list_transform(range(n), lambda k: a[k + 1 :] || a[: k] = o)) as same_ring, a = o as same_sequence from n")
+def cyclic_equality(spark, sf):
+    """Of each label's sequence and a turned (even labels) or otherwise ordered one: equal as rings, equal as sequences."""
+    p = pts(spark, sf).select("label", "pid", rounded("x", 2).alias("x"))
+    order = lambda *k: F.transform(F.array_sort(F.collect_list(F.struct(*k, "x"))), lambda s: s["x"])
+    # a ring is a polygon: its vertices are one row
+    both = p.groupBy("label").agg(order("pid").alias("a"), order(((F.col("pid") + F.col("label")) % 500).alias("m"), "pid").alias("b"))
+    turned = F.concat(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0))), F.slice("a", 1, 1))
+    o = both.withColumn("o", F.when(F.col("label") % 2 == 0, turned).otherwise(F.col("b")))
+    return o.select("label", g.same_ring(F.col("a"), F.col("o")).alias("same_ring"), equality.sequences_within(F.col("a"), F.col("o"), 0.0).alias("same_sequence"))
+
+
 def _vec_pairs(spark, sf):
     v = vecs(spark, sf)
     return v.join(v.select((F.col("pid") - 1).alias("pid"), F.col("v").alias("w")), "pid")
@@ -284,6 +300,20 @@ def matvec(spark, sf):
     return matrices.times_vector(a, x).select(F.col("i").cast("int").alias("i"), rounded("v", 4).alias("v"))
 
 
+@query("vecmat", f"{_MAT} select j::bigint as j, {r('sum(v * (i + 1))', 'v', 4)} from a group by j")
+def vecmat(spark, sf):
+    a = _matrix(spark, sf)
+    x = a.select("i").distinct().withColumn("v", F.col("i") + 1.0)
+    return matrices.vector_times(x, a).select("j", rounded("v", 4).alias("v"))
+
+
+@query("matrix_swap_identity", f"{_MAT}, w as (select i, case j when 0 then 2 when 2 then 0 else j end as j, v from a union all select range as i, range as j, 1.0 as v from range(3)) select i::int as i, j::int as j, {r('sum(v)', 'v', 4)} from w group by 1, 2")
+def matrix_swap_identity(spark, sf):
+    """The matrix with its outer columns swapped, plus the identity."""
+    m = matrices.add(matrices.swap_columns(_matrix(spark, sf), 0, 2), matrices.identity(spark, 3))
+    return m.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), rounded("v", 4).alias("v"))
+
+
 @query("symmetry_check", f"{_MAT}, p as (select a.i, b.i as j, sum(a.v * b.v) as v from a join a b on a.j = b.j group by 1, 2) select bool_and(abs(p.v - coalesce(t.v, 0)) <= 1e-6) as symmetric, bool_and(p.i <= p.j + 1 or p.v = 0) as hessenberg from p left join p t on t.i = p.j and t.j = p.i")
 def symmetry_check(spark, sf):
     a = _matrix(spark, sf)

@@ -53,3 +53,19 @@ def pair_sequence_roundtrip(spark, sf):
     where = _place(spark, "pairs")
     text.write_pairs(_pairs(spark, sf), where)
     return text.read_pairs(spark, where)
+
+
+@query("xyz_coloured_roundtrip", f"with {PTS} select {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')}, (pid % 256)::int as r, (pid * 7 % 256)::int as g, (label % 256)::int as b from pts")
+def xyz_coloured_roundtrip(spark, sf):
+    where = _place(spark, "xyz")
+    text.write_points(pts(spark, sf).withColumns({"r": F.col("pid") % 256, "g": F.col("pid") * 7 % 256, "b": F.col("label") % 256}), where, text.COLOURED)
+    return text.read_points(spark, where, text.COLOURED).select(*[rounded(c).alias(c) for c in "xyz"], "r", "g", "b")
+
+
+@query("ground_truth_roundtrip", f"with {_SRC}, {_T} select src_idx as epoch, {', '.join(r(f't[{i + 1}]', f't{i}') for i in range(12))} from ps")
+def ground_truth_roundtrip(spark, sf):
+    """Poses without covariances."""
+    where = _place(spark, "truth")
+    text.write_poses(_pairs(spark, sf).withColumnRenamed("src_idx", "epoch"), where, covariance=False)
+    p = text.read_poses(spark, where, covariance=False)
+    return p.select("epoch", *[rounded(F.get("t", F.lit(i))).alias(f"t{i}") for i in range(12)])

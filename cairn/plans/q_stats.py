@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import normals, stats
+from ..operators import fits, normals, stats
 from .registry import EV, LI, PTS, eigen_sql, ev, li, moments_sql, normal_sql, pts, query, r, rounded, table
 
 
@@ -208,3 +208,51 @@ def fit_segment3d(spark, sf):
     t = p.join(m, "label").withColumn("t", g.dot(g.sub(g.vec(), g.vec("cx", "cy", "cz")), g.vec("ax", "ay", "az")))
     e = t.groupBy("label").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).join(m, "label")
     return e.select("label", *[rounded(F.col(f"c{c}") + F.col(k) * F.col(f"a{c}"), 4).alias(f"{n}{c}") for c in "xyz" for n, k in (("a", "lo"), ("b", "hi"))])
+
+
+def _weighted(spark, sf):
+    return pts(spark, sf).withColumn("w", 1 + F.abs("x"))
+
+
+_W2 = (
+    f"{_W}, c as (select label, count(*) as n, sum(w) as sw, sum(w * x) / sum(w) as cx, sum(w * y) / sum(w) as cy from w group by label), "
+    "m as (select label, any_value(n) as n, any_value(cx) as cx, any_value(cy) as cy, sum(w * (x - cx) * (x - cx)) / any_value(sw) as a, sum(w * (x - cx) * (y - cy)) / any_value(sw) as b, sum(w * (y - cy) * (y - cy)) / any_value(sw) as c from w join c using (label) group by label)"
+)
+_P2 = f"with {PTS}, m as (select label, count(*) as n, avg(x) as cx, avg(y) as cy, covar_pop(x, x) as a, covar_pop(x, y) as b, covar_pop(y, y) as c from pts group by label)"
+_LINE2 = f"l as (select *, cos(atan2(2 * b, a - c) / 2) as dx, sin(atan2(2 * b, a - c) / 2) as dy, ({_TWO[1]}) / ({_TWO[0]}) as q from m)"
+_SEG2 = (
+    f"{_LINE2}, t as (select p.label, cx, cy, dx, dy, q, (x - cx) * dx + (y - cy) * dy as t from pts p join l using (label)) select label, "
+    + ", ".join(r(f"any_value(c{c}) + {f}(t) * any_value(d{c})", n + c, 5) for n, f in (("a", "min"), ("b", "max")) for c in "xy")
+    + f", {r('any_value(q)', 'quality', 5)} from t group by label"
+)
+
+
+def _ends(df):
+    return df.select("label", *[rounded(c, 5).alias(c) for c in ("ax", "ay", "bx", "by", "quality")])
+
+
+@query("weighted_pca2d", f"{_W2} select label, {r(_TWO[0], 'l1')}, {r(_TWO[1], 'l2')} from m")
+def weighted_pca2d(spark, sf):
+    return fits.lines2(_weighted(spark, sf), ["label"], "w").select("label", *[rounded(c).alias(c) for c in ("l1", "l2")])
+
+
+@query("fit_weighted_line2d", f"{_W2}, {_LINE2} select label, {r('cx', 'cx')}, {r('cy', 'cy')}, {r('abs(dx)', 'dx', 5)}, {r('abs(dy)', 'dy', 5)}, {r('q', 'quality', 5)} from l")
+def fit_weighted_line2d(spark, sf):
+    l = fits.lines2(_weighted(spark, sf), ["label"], "w")  # noqa: E741
+    return l.select("label", *[rounded(c).alias(c) for c in ("cx", "cy")], *[rounded(F.abs(c), 5).alias(c) for c in ("dx", "dy")], rounded("quality", 5).alias("quality"))
+
+
+@query("fit_segment2d", f"{_P2}, {_SEG2}")
+def fit_segment2d(spark, sf):
+    return _ends(fits.segments2(pts(spark, sf), ["label"]))
+
+
+@query("fit_weighted_segment2d", f"{_W2}, {_SEG2}")
+def fit_weighted_segment2d(spark, sf):
+    return _ends(fits.segments2(_weighted(spark, sf), ["label"], "w"))
+
+
+@query("fit_weighted_plane", f"{_W}, {_WM}, {eigen_sql('mom')}, {normal_sql('eig')} select label, {', '.join(r(f'n{c}', f'n{c}', 5) for c in 'xyz')}, {r('l3 / l2', 'quality', 5)} from nrm")
+def fit_weighted_plane(spark, sf):
+    """The weighted normals, and how flat the groups are."""
+    return fits.planes3(_weighted(spark, sf), ["label"], "w").select("label", *[rounded(c, 5).alias(c) for c in ("nx", "ny", "nz", "quality")])

@@ -28,17 +28,17 @@ def write_points(points: DataFrame, path: str, names: tuple[str, ...] = POINT, d
     points.select(F.concat_ws(" ", *each).alias("value")).write.text(path)
 
 
-def pose_lines(poses: DataFrame, key: str = "epoch", digits: int = 12) -> DataFrame:
-    """(epoch, value) one text block per pose: epoch, four lines of the matrix, six of the covariance."""
+def pose_lines(poses: DataFrame, key: str = "epoch", digits: int = 12, covariance: bool = True) -> DataFrame:
+    """(epoch, value) one text block per pose: epoch, four lines of the matrix, and six of the covariance or none."""
     number = lambda c: F.format_string(f"%.{digits}f", c)
     line = lambda a, i, n: F.concat_ws(" ", *[number(F.get(a, F.lit(i * n + j))) for j in range(n)])
-    block = [F.col(key).cast("string"), *[line("t", i, 4) for i in range(4)], *[line("vcm", i, 6) for i in range(6)]]
+    block = [F.col(key).cast("string"), *[line("t", i, 4) for i in range(4)], *[line("vcm", i, 6) for i in range(6 if covariance else 0)]]
     return poses.select(F.col(key).alias("epoch"), F.concat_ws("\n", *block).alias("value"))
 
 
-def write_poses(poses: DataFrame, path: str, key: str = "epoch") -> None:
+def write_poses(poses: DataFrame, path: str, key: str = "epoch", covariance: bool = True) -> None:
     """One file with the blocks in ascending order of epochs (a series has few of them)."""
-    pose_lines(poses, key).coalesce(1).sortWithinPartitions("epoch").select("value").write.text(path)
+    pose_lines(poses, key, covariance=covariance).coalesce(1).sortWithinPartitions("epoch").select("value").write.text(path)
 
 
 def read_poses(spark: SparkSession, path: str, covariance: bool = True) -> DataFrame:
