@@ -6,39 +6,62 @@ batch of source points is compared with it in blocks.  A larger one is bucketed
 each unresolved source point is joined to the 27 cells around it, which holds everything nearer
 than one cell; points whose k-th neighbour is nearer than that are done, the rest go on
 with cells of twice the size.  Both are exact.
+
+The distance is Euclidean, or any ``metric`` of two places that is never less than the largest difference of a
+coordinate; such a one is an expression and takes the second way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..plans import storage
 
 SMALL = 20_000
 _BLOCK = 1 << 21  # distances held at once
 
 
-def _points(df: DataFrame, pid: str) -> DataFrame:
-    return df.select(F.col(pid).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).filter("id is not null and x is not null and y is not null and z is not null")
+Metric = Callable[[g.Vec, g.Vec], Column]
+
+
+def manhattan(a: g.Vec, b: g.Vec) -> Column:
+    return sum((F.abs(p - q) for p, q in zip(a[1:], b[1:], strict=True)), F.abs(a[0] - b[0]))
+
+
+def chebyshev(a: g.Vec, b: g.Vec) -> Column:
+    return F.greatest(*[F.abs(p - q) for p, q in zip(a, b, strict=True)])
+
+
+def _squared(metric: Metric | None) -> Column:
+    """The squared distance of (x, y, z) and (tx, ty, tz), added in the order x, y, z."""
+    if metric is not None:
+        d = metric(g.vec(), g.vec(prefix="t"))
+        return d * d
+    return (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("z") - F.col("tz")) * (F.col("z") - F.col("tz"))
+
+
+def _points(df: DataFrame, pid: str, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    return df.select(F.col(pid).cast("long").alias("id"), *[F.col(own).cast("double").alias(c) for own, c in zip(xyz, "xyz", strict=True)]).filter("id is not null and x is not null and y is not null and z is not null")
 
 
-def knn_join(source: DataFrame, target: DataFrame, k: int, *, pid: str = "pid", below: float | None = None, include_self: bool = True, small: int = SMALL, cell: float | None = None) -> DataFrame:
+def knn_join(source: DataFrame, target: DataFrame, k: int, *, pid: str = "pid", below: float | None = None, include_self: bool = True, small: int = SMALL, cell: float | None = None, metric: Metric | None = None, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """(pid, nbr_id, rank from 1, d2) of the k nearest target points of each source point.
 
-    ``below``: only squared distances under it.  Without ``include_self`` target points of
+    ``pid`` and ``xyz`` name the columns of both tables.  ``below``: only squared distances under it.  Without ``include_self`` target points of
     the same id are left out.  Points with a null id or coordinate take no part.
     """
-    s, t = _points(source, pid), _points(target, pid)
+    s, t = _points(source, pid, xyz), _points(target, pid, xyz)
     n = t.count()
-    if n <= small:
+    if n <= small and (metric is None or not n):
         found = _broadcast_knn(s, t, k, below, include_self)
     else:
-        found = _grid_knn(s, t, n, k, below, include_self, cell)
+        found = _grid_knn(s, t, n, k, below, include_self, cell, metric)
     return found.select(F.col("id").alias(pid), "nbr_id", "rank", "d2")
 
 
@@ -97,7 +120,7 @@ def around(df: DataFrame) -> DataFrame:
     return df
 
 
-def _grid_knn(s: DataFrame, t: DataFrame, n: int, k: int, below: float | None, include_self: bool, cell: float | None) -> DataFrame:
+def _grid_knn(s: DataFrame, t: DataFrame, n: int, k: int, below: float | None, include_self: bool, cell: float | None, metric: Metric | None = None) -> DataFrame:
     box = t.agg(*[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
     spans = [max(box[2 * i + 1] - box[2 * i], 0.0) for i in range(3)]
     wide = max([*spans, 1e-12])
@@ -116,8 +139,7 @@ def _grid_knn(s: DataFrame, t: DataFrame, n: int, k: int, below: float | None, i
         met = around(cells(left, cell)).join(near, ["kx", "ky", "kz"])
         if not include_self:
             met = met.filter("id <> nbr_id")
-        d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("z") - F.col("tz")) * (F.col("z") - F.col("tz"))
-        met = met.withColumn("d2", d2)
+        met = met.withColumn("d2", _squared(metric))
         if below is not None:
             met = met.filter(F.col("d2") < below)
         best = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nbr_id"))).filter(F.col("rank") <= k).select("id", "nbr_id", "rank", "d2")
@@ -150,18 +172,16 @@ def nn_join(source: DataFrame, target: DataFrame, *, pid: str = "pid", **kw) ->
     return knn_join(source, target, 1, pid=pid, **kw).drop("rank")
 
 
-def radius_join(source: DataFrame, target: DataFrame, below: float, *, pid: str = "pid") -> DataFrame:
+def radius_join(source: DataFrame, target: DataFrame, below: float, *, pid: str = "pid", metric: Metric | None = None) -> DataFrame:
     """(pid, nbr_id, d2) of all pairs with a squared distance under ``below``: an equi-join on cells of its root."""
     size = float(np.sqrt(below))
     near = cells(_points(target, pid), size).select(F.col("id").alias("nbr_id"), *[F.col(c).alias(f"t{c}") for c in "xyz"], "kx", "ky", "kz")
     met = around(cells(_points(source, pid), size)).join(near, ["kx", "ky", "kz"])
-    d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("z") - F.col("tz")) * (F.col("z") - F.col("tz"))
-    return met.withColumn("d2", d2).filter(F.col("d2") < below).select(F.col("id").alias(pid), "nbr_id", "d2")
+    return met.withColumn("d2", _squared(metric)).filter(F.col("d2") < below).select(F.col("id").alias(pid), "nbr_id", "d2")
 
 
 def grid_radius_join(source: DataFrame, target: DataFrame, size: float, at_most: float, *, pid: str = "pid") -> DataFrame:
     """As radius_join, but only within the 27 cells of a given size, and with the bound included."""
     near = cells(_points(target, pid), size).select(F.col("id").alias("nbr_id"), *[F.col(c).alias(f"t{c}") for c in "xyz"], "kx", "ky", "kz")
     met = around(cells(_points(source, pid), size)).join(near, ["kx", "ky", "kz"])
-    d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("z") - F.col("tz")) * (F.col("z") - F.col("tz"))
-    return met.withColumn("d2", d2).filter(F.col("d2") <= at_most).select(F.col("id").alias(pid), "nbr_id", "d2")
+    return met.withColumn("d2", _squared(None)).filter(F.col("d2") <= at_most).select(F.col("id").alias(pid), "nbr_id", "d2")

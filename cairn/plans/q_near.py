@@ -48,6 +48,17 @@ def knn_in_radius(spark, sf):
     return neighbours.knn_join(p, p, 10, below=0.02).select("pid", "nbr_id", "rank", _d2())
 
 
+_MAN = "(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z))"
+
+
+@query("knn_manhattan", f"with {PTS}, d as (select a.pid, b.pid as nbr_id, {_MAN} as d from pts a, pts b), k as (select *, row_number() over (partition by pid order by d * d, nbr_id) as rank from d) select pid, nbr_id, rank::int as rank, {r('d', 'd', 9)} from k where rank <= 6")
+def knn_manhattan(spark, sf):
+    """Nearest by the sum of the coordinates' differences, from columns of other names."""
+    p = pts(spark, sf).toDF("number", "label", "east", "north", "up")
+    near = neighbours.knn_join(p, p, 6, pid="number", xyz=("east", "north", "up"), metric=neighbours.manhattan)
+    return near.select(F.col("number").alias("pid"), "nbr_id", "rank", rounded(F.sqrt("d2"), 9).alias("d"))
+
+
 @query("radius_join", f"with {PTS} select a.pid, b.pid as nbr_id, {r(D2, 'd2', 9)} from pts a, pts b where {D2} < 0.01")
 def radius_join(spark, sf):
     p = pts(spark, sf)

@@ -1,8 +1,8 @@
-"""Point cloud files in the PCD format (ascii and binary) as a Spark data source, ``format("pcd")``.
+"""Point cloud files in the PCD format (ascii, binary, binary_compressed) as a Spark data source, ``format("pcd")``.
 
 Reading: a path is a file, or a folder of ``.pcd`` files; each file is a partition, and only the
-wanted columns of the schema leave it.  Writing: one binary file per partition.  Paths go through
-pyarrow's file systems, so they may be URIs.
+wanted columns of the schema leave it.  Writing: one binary file per partition, from Arrow batches.
+Paths go through pyarrow's file systems, so they may be URIs.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Codes of the header's TYPE line, with sizes (fixed values of the format).
@@ -47,19 +47,51 @@ def parse(data: bytes) -> np.ndarray:
     mode = header["DATA"][0].lower()
     if mode == "binary":
         return np.frombuffer(data, kind, n, at)
+    if mode == "binary_compressed":  # two sizes, then all values of the first field, of the second, ...
+        packed, size = (int(x) for x in np.frombuffer(data, "<u4", 2, at))
+        plain, lo, out = unpacked(data[at + 8 : at + 8 + packed], size), 0, np.empty(n, kind)
+        for name in names:
+            out[name] = np.frombuffer(plain, kind[name].base, n * (kind[name].shape or (1,))[0], lo).reshape(out[name].shape)
+            lo += n * kind[name].itemsize
+        return out
     if mode != "ascii":
         raise ValueError(f"{mode} data are not supported")
     if max(counts, default=1) > 1:
         raise ValueError("ascii fields of several values are not supported")
-    rows = [tuple(line.split()) for line in data[at:].decode("ascii").splitlines() if line.strip()]
-    if len(rows) < n:
-        raise ValueError(f"{len(rows)} of {n} points")
+    words = np.array(data[at:].split())
+    if len(words) < n * len(names):
+        raise ValueError(f"{len(words) // max(1, len(names))} of {n} points")
     out = np.empty(n, kind)
-    for i, name in enumerate(names):
-        out[name] = np.array([r[i] for r in rows[:n]], np.float64 if kind[name].kind == "f" else np.int64)
+    for name, column in zip(names, words[: n * len(names)].reshape(n, len(names)).T, strict=True):
+        out[name] = column.astype(np.float64 if kind[name].kind == "f" else np.int64)
     return out
 
 
+def unpacked(data: bytes, size: int) -> bytes:
+    """LZF: a byte under 32 says how many literal bytes, less one, follow; any other is a reference to earlier output,
+    with three bits of its length, less two (all set: a further byte adds to them), and 13 bits of its distance, less one."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        head, i = data[i], i + 1
+        if head < 32:
+            out += data[i : i + head + 1]
+            i += head + 1
+            continue
+        n = (head >> 5) + 2
+        if n == 9:
+            n, i = n + data[i], i + 1
+        start, i = len(out) - ((head & 31) << 8 | data[i]) - 1, i + 1
+        if start < 0:
+            raise ValueError("a reference before the beginning")
+        while n > 0:  # a reference may run into what it writes
+            piece = out[start : start + n]
+            out += piece
+            start, n = start + len(piece), n - len(piece)
+    if len(out) != size:
+        raise ValueError(f"{len(out)} of {size} bytes")
+    return bytes(out)
+
+
 def render(columns: dict[str, np.ndarray]) -> bytes:
     """A binary PCD file of float64 and int32 or int64 columns."""
     n = len(next(iter(columns.values()))) if columns else 0
@@ -126,16 +158,16 @@ class _Written(WriterCommitMessage):
     final: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
         self.schema, self.path, self.overwrite = schema, options["path"], overwrite
 
-    def write(self, rows) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
         kinds = {f.name: np.float64 if f.dataType.simpleString() in ("double", "float") else np.int64 if f.dataType.simpleString() == "bigint" else np.int32 for f in self.schema.fields}
-        got = [tuple(r) for r in rows]
-        columns = {f.name: np.array([r[i] for r in got], kinds[f.name]) for i, f in enumerate(self.schema.fields)}
+        got = [b for b in batches if b.num_rows]
+        columns = {f.name: np.concatenate([b.column(i).to_numpy(zero_copy_only=False).astype(kinds[f.name]) for b in got] or [np.zeros(0, kinds[f.name])]) for i, f in enumerate(self.schema.fields)}
         system, root = _open(self.path)
         system.create_dir(root)
         part = TaskContext.get().partitionId()

@@ -346,6 +346,22 @@ def test_pcd_formats(spark, tmp_path):
         pcd.parse((head + "ascii\n1 2 3 9\n").encode())
 
 
+def test_compressed_pcd(spark, tmp_path):
+    head = b"VERSION .7\nFIELDS x y z\nSIZE 8 8 8\nTYPE F F F\nCOUNT 1 1 1\nWIDTH 40\nHEIGHT 1\nPOINTS 40\nDATA binary_compressed\n"
+    points = np.column_stack([np.zeros(40), np.arange(40.0), np.full(40, 7.5)])
+    plain = points.T.astype("<f8").tobytes()
+    packed = b"\x00\x00" + b"\xe0" + bytes([319 - 9]) + b"\x00" if 319 - 9 < 256 else b"\x00\x00\xe0\xff\x00" + b"\xe0" + bytes([319 - 264 - 9]) + b"\x00"
+    rest = plain[320:]
+    packed += b"".join(bytes([len(rest[i : i + 32]) - 1]) + rest[i : i + 32] for i in range(0, len(rest), 32))
+    assert pcd.unpacked(packed, len(plain)) == plain
+    (tmp_path / "c.pcd").write_bytes(head + np.array([len(packed), len(plain)], "<u4").tobytes() + packed)
+    pcd.register(spark)
+    got = spark.read.format("pcd").load(str(tmp_path)).orderBy("point_id").select("x", "y", "z").collect()
+    assert np.array_equal(np.array(got), points)
+    with pytest.raises(ValueError, match="before"):
+        pcd.unpacked(b"\x20\x00", 3)
+
+
 def test_malformed_points_fail(spark, tmp_path):
     (tmp_path / "p.xyz").write_text("1 2 3 extra\n\n4 5 6\n")
     assert text.read_points(spark, str(tmp_path / "p.xyz")).count() == 2
