@@ -24,7 +24,7 @@ their content depends on the rows alone, so a retried or doubled task leaves the
 Edge cases: a null or empty text holds only the end id; null document ids come first and are
 not in the index; repeated ids keep all their rows, in any one order and, if they are very many, in several
 shards, of which ``get`` finds the first; rows that agree in id and text stay in one shard; an empty
-table writes a manifest without rows; a very long text is a block of its own (about 60 times its
+table writes a manifest without rows; a very long text is a block of its own (about 8 times its
 bytes); extra columns are ignored.
 """
 

@@ -20,7 +20,7 @@ is shorter still); an empty or null text has none; two fingerprints without feat
 (1.0), one with and one without are not (0.0); equal texts have equal fingerprints; in the query,
 rows with the same id follow each other in any one order, null ids come last, and the only row of a table
 is its own next; an empty table gives an empty result; repeated rows have equal fingerprints; a very
-long text takes about 20 times its bytes in the query and twice that time a piece of 1 MB; extra columns are ignored.
+long text takes about 10 times its bytes in the query, and comparing two such ones the product of their sizes in time; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ texts, without a shuffle, each distinct word of a block being prepared once.
 Edge cases: null, empty and wordless texts score 0; without labels of both kinds everything
 scores 0; repeated rows score alike; null labels are not learned; of several labels of an id
 the largest counts; an empty table gives an empty result; a very long text is a block of its own
-(about 50 times its bytes); extra columns are passed through (``score`` and ``predicted`` are replaced).
+(about 16 times its bytes); extra columns are passed through (``score`` and ``predicted`` are replaced).
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Edge cases: a null or empty text has no words and is never contaminated; null or
 texts of items have no windows; items without an id are together one item, unnamed in the digest;
 items that repeat (same id, or same text under another id) each count by id; an empty benchmark
 hits nothing; an empty table of documents gives an empty result; repeated rows are judged one by
-one; a very long text is a block of its own (about 30 times its bytes); extra columns of either
+one; a very long text is a block of its own (about 13 times its bytes); extra columns of either
 table are ignored by ``scan`` and passed through, whatever their names, by the other two.
 """
 

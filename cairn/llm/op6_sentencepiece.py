@@ -37,6 +37,7 @@ from .units import THREADS, UnitEncoder, joined, threaded
 
 MODEL = "piece_bpe_32k.model"
 BLOCK_BYTES = 2 << 20
+DECODED_IDS = 1 << 20  # given to the library at once
 
 
 def model_path(name: str = MODEL) -> str:
@@ -58,8 +59,8 @@ def implied_merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def build(model: SpmModel, prefix: bool | None = None):
-    """The tokenizers.Tokenizer of a model; ``prefix`` overrides its dummy prefix."""
+def build(model: SpmModel, prefix: bool | None = None, strip: bool = True):
+    """The tokenizers.Tokenizer of a model; ``prefix`` overrides its dummy prefix, ``strip`` takes it off decoded text."""
     from tokenizers import Tokenizer, decoders, models, normalizers
 
     unk = model.pieces[model.unk_id][0]
@@ -84,7 +85,7 @@ def build(model: SpmModel, prefix: bool | None = None):
     if steps:
         tokenizer.normalizer = normalizers.Sequence(steps)
     ends = [decoders.Replace(unk, " ⁇ "), decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if model.add_dummy_prefix:
+    if model.add_dummy_prefix and strip:
         ends.append(decoders.Strip(" ", 1, 0))
     tokenizer.decoder = decoders.Sequence(ends)
     return tokenizer
@@ -103,12 +104,13 @@ class Codec:
         threaded()
         self.model = spm_model.parse(path)
         self.tokenizer = build(self.model)
+        self.rest = build(self.model, strip=False)
+        self.starts = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
         self.by_units = self._separable()
         self.judge = _judge(path, prefix=not self.by_units) if verified else None
         if self.by_units:
             bare = build(self.model, prefix=False)
-            starts = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
-            self.units = UnitEncoder(lambda units: self._checked(units, *joined(bare, starts, units, _simple)), _cuts)
+            self.units = UnitEncoder(lambda units: self._checked(units, *joined(bare, self.starts, units, _simple)), _cuts)
         self.control = np.array([kind == spm_model.CONTROL for _, _, kind in self.model.pieces])
 
     def _checked(self, texts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +144,8 @@ class Codec:
             data, offsets = textbuf.buffers(pc.replace_substring(texts, SPACE, " "))
         # the dummy prefix: a space before every text that has any characters
         size = np.diff(offsets)
+        if len(size) == 1:
+            return self.units.run(np.append(np.uint8(0x20), data), np.array([0, len(data) + 1])) if len(data) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
         some = size > 0
         wide = np.full(len(data) + int(some.sum()), 0x20, np.uint8)
         shift = np.cumsum(some)
@@ -154,8 +158,21 @@ class Codec:
         spelled = ~self.control[ids]
         if not spelled.all():
             ids, ends = ids[spelled], np.concatenate([[0], np.cumsum(spelled)])[ends]
-        runs, ends = ids.tolist(), ends.tolist()
-        return [t.encode() for t in self.tokenizer.decode_batch([runs[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], skip_special_tokens=False)]
+        if len(ids) <= DECODED_IDS:
+            runs, ends = ids.tolist(), ends.tolist()
+            return [t.encode() for t in self.tokenizer.decode_batch([runs[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], skip_special_tokens=False)]
+        return [self._spelled(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _spelled(self, run: np.ndarray) -> bytes:
+        """The text of one run of ids, in stretches that end before an id that begins with a space."""
+        out, lo = [], 0
+        while lo < len(run):
+            hi = min(lo + DECODED_IDS, len(run))
+            while hi < len(run) and not self.starts[run[hi]]:
+                hi += 1
+            out.append((self.rest if lo else self.tokenizer).decode(run[lo:hi].tolist(), skip_special_tokens=False).encode())
+            lo = hi
+        return b"".join(out)
 
 
 def _judge(path: str, prefix: bool):

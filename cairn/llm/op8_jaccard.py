@@ -26,7 +26,7 @@ beyond 131,072 to m / 2,048).  Classes are joined by the first 64 bits of their
 
 Edge cases: texts without words (null, empty, signs only) are classes of their own without
 links; copies link to each other (J = 1) and count; repeated rows count as copies; an empty
-table gives an empty result; a very long text is a block of its own (about 45 times its bytes); extra
+table gives an empty result; a very long text is a block of its own (about 15 times its bytes); extra
 columns are ignored by ``classes`` and stay, whatever their names, in ``deduplicated``.  A row is known by its id and text (two
 64-bit hashes of both), so rows that share an id, or have none, are linked and removed by
 their own texts; a class without any id has a null ``class_id``.

@@ -11,7 +11,7 @@ chunks that are read side by side, with entry states that are checked, so cost i
 
 Edge cases: null and empty texts have no spans; positions are code points, the end
 exclusive; repeated rows give repeated results; an empty table gives an empty result; a very long text
-is a block of its own (about 20 times its bytes); extra columns are ignored by ``report`` and stay in ``redacted``.
+is a block of its own (about 18 times its bytes); extra columns are ignored by ``report`` and stay in ``redacted``.
 """
 
 from __future__ import annotations

@@ -19,6 +19,8 @@ CACHE_UNITS = 250_000
 LONG_UNIT = 256
 JOINED_UNITS = 1024
 THREADS = 2
+PIECE_BYTES = 1 << 22
+LOOK = 1 << 16  # how far the end of a piece is looked for at once
 
 
 def threaded() -> None:
@@ -62,6 +64,8 @@ class UnitEncoder:
         n_docs = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n_docs, np.int64)
+        if len(data) > PIECE_BYTES + LOOK:
+            return self._in_pieces(data, offsets)
         bounds = np.sort(np.concatenate([offsets, self.cuts(data, offsets)]), kind="stable")
         bounds = bounds[np.concatenate([[True], bounds[1:] != bounds[:-1]])]
         array = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)])
@@ -81,6 +85,46 @@ class UnitEncoder:
         return ids, np.diff(at)
 
 
+    def _in_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``run``, in pieces that end at text boundaries or cuts, so that memory follows the ids."""
+        ids, sizes, lo = [], np.zeros(len(offsets) - 1, np.int64), 0
+        while lo < len(data):
+            hi = self._end(data, offsets, lo)
+            d0, d1 = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi))
+            part = data[lo:hi]
+            got, n = self.run(part, np.clip(offsets[d0 : d1 + 1], lo, hi) - lo) if len(part) <= PIECE_BYTES + LOOK else self._whole(part)
+            ids.append(got)
+            sizes[d0 : d0 + len(n)] += n
+            lo = hi
+        return np.concatenate(ids), sizes
+
+    def _end(self, data: np.ndarray, offsets: np.ndarray, lo: int) -> int:
+        """Where the piece from ``lo`` on ends: about PIECE_BYTES further, or where a stretch that cannot be cut begins or ends."""
+        at = lo + PIECE_BYTES
+        hi = self._next(data, offsets, at)
+        if hi - at <= LOOK:
+            return hi
+        before = offsets[(offsets > lo) & (offsets <= at)]
+        some = self.cuts(data[lo:at], np.array([0, at - lo])) + lo
+        before = np.concatenate([before, some[some > lo]])
+        return int(before.max()) if len(before) else hi
+
+    def _next(self, data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+        while at < len(data):
+            ends = offsets[(offsets >= at) & (offsets < at + LOOK)]
+            window = data[at - 4 : at + LOOK]
+            some = self.cuts(window, np.array([0, len(window)])) + at - 4
+            found = np.concatenate([ends, some[some >= at]])
+            if len(found):
+                return int(found.min())
+            at += LOOK - 8
+        return len(data)
+
+    def _whole(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A stretch of one text without a place to cut is one unit."""
+        return self.encode([part.tobytes()])
+
+
 def one_by_one(tokenizer, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Encode each unit as a text of its own."""
     got = [e.ids for e in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]

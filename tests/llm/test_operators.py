@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import automaton, op1_language, op2_shard, op3_fingerprint, op4_toxicity, op5_decontaminate, op6_sentencepiece, op7_tokens, op8_jaccard, op9_secrets, op10_binary, ranges, registry, textbuf
+from cairn.llm import automaton, op1_language, op2_shard, op3_fingerprint, op4_toxicity, op5_decontaminate, op6_sentencepiece, op7_tokens, op8_jaccard, op9_secrets, op10_binary, ranges, registry, textbuf, units
 from cairn.llm.spm_model import BYTE, CONTROL, NORMAL, UNKNOWN
 from tests.compare import same
 
@@ -56,6 +56,27 @@ def test_word_hashes_agree_with_a_plain_split(docs):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_much_text_in_pieces(docs, monkeypatch):
+    """Words, tokens and ids of long texts do not depend on the pieces that they are looked at in."""
+    texts = pa.array([*docs.values(), "", "x" * 5000, "é" * 3000, " ".join(docs.values()), None, "日本 " * 900, "", "a\n\nb   c" * 400])
+    data, offsets = textbuf.buffers(texts)
+    codec, encoder = op6_sentencepiece.Codec(op6_sentencepiece.model_path()), op10_binary.unit_encoder(op7_tokens.tokenizer_path())
+    whole, ids, other = textbuf.words(data, offsets), codec.encode(texts), encoder.run(data, offsets)
+    one = pa.array([" ".join(docs.values())])
+    alone = codec.encode(one)
+    spelled = codec.decode(*ids)
+    for size in (1000, 4096):
+        monkeypatch.setattr(textbuf, "PIECE_BYTES", size)
+        monkeypatch.setattr(units, "PIECE_BYTES", size)
+        monkeypatch.setattr(units, "LOOK", 64)
+        monkeypatch.setattr(op6_sentencepiece, "DECODED_IDS", size // 10)
+        for x, y in zip(textbuf.words(data, offsets), whole, strict=True):
+            assert np.array_equal(x, y)
+        for got, want in ((codec.encode(texts), ids), (encoder.run(data, offsets), other), (codec.encode(one), alone)):
+            assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+        assert codec.decode(*ids) == spelled == [(t or "").encode() for t in texts.to_pylist()]
+
+
 def test_language_held_out(spark, sf):
     got = op1_language.op1(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out").collect()
