@@ -32,6 +32,15 @@ def test_grid_neighbours_equal_brute_force(spark, n, k, cell):
     assert brute == grid == want
 
 
+def test_block_of_many_points_is_parted(spark, monkeypatch):
+    """Each part of a block's points meets all targets around the block, and points without near targets go on."""
+    monkeypatch.setattr(neighbours, "MOST_IN_BLOCK", 50)
+    xyz = np.vstack([np.round(np.random.default_rng(5).random((200, 3)), 1), [(40, 0, 0), (0, -30, 2)]])
+    p = table(spark, xyz)
+    for k, kw in ((1, {}), (6, {"include_self": False}), (4, {"below": 0.02})):
+        assert sorted(map(tuple, neighbours.knn_join(p, p, k, small=0, **kw).collect())) == sorted(map(tuple, neighbours.knn_join(p, p, k, **kw).collect()))
+
+
 def test_neighbours_of_far_and_missing_points(spark):
     t = table(spark, [(0, 0, 0), (1, 0, 0)])
     s = spark.createDataFrame([(7, 100.0, 0.0, 0.0), (8, None, 0.0, 0.0)], POINTS)
