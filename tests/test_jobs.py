@@ -94,6 +94,15 @@ def test_targets_and_chains_of_the_modes(spark, monkeypatch, mode, want):
     assert all(np.isclose(got[k]["t"][3], k) and got[k]["failed"] is None for k in want)
 
 
+def test_series_prepares_each_scan_once(spark, monkeypatch):
+    """Of three pairs in a row, two scans are in two of them."""
+    made, before = [], series.prepared
+    monkeypatch.setattr(series, "prepared", lambda *a: made.append(1) or before(*a))
+    points = spark.createDataFrame([(k, i, 0.1 * i, 0.0, 0.0, i % 2) for k in range(4) for i in range(9)], "scan_idx int, pid long, x double, y double, z double, label long")
+    got = series.register_series(points, mode=1, key="label", dt=0.1, dt_min=0.1, sizes=0.2).collect()
+    assert len(made) == 4 and sorted(r["src_idx"] for r in got) == [1, 2, 3] and all(r["failed"] for r in got)
+
+
 def test_point_to_plane_query(spark, sf):
     """The query's pose against the known motion and against plain least squares over all pairs."""
     import __spark_entry__ as registry
