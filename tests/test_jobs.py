@@ -112,6 +112,26 @@ def test_point_to_plane_query(spark, sf):
     assert np.abs(got - truth(1)).max() < 0.15  # a fifth of the facets have risen, and all take part
 
 
+def test_point_to_plane_of_many_patches(spark, sf, monkeypatch):
+    """The ways for larger tables give the pose of the collected ones, and collect no source patch."""
+    import __spark_entry__ as registry
+
+    run = lambda: np.array([r["row"] for r in sorted(registry.queries()["icp_point_to_plane"](spark, sf).collect(), key=lambda r: r["i"])])
+    want = run()
+    monkeypatch.setattr(alignment, "MOST_PATCHES", 0)
+    monkeypatch.setattr(alignment, "icp", None)
+    assert np.allclose(run(), want, atol=1e-8)
+
+
+def test_nearest_around_is_exact():
+    rng = np.random.default_rng(3)
+    t = np.vstack([rng.random((3000, 3)) * [9, 9, 0.1], [(50, 0, 0)]])
+    for q in (rng.random((80, 3)), rng.random((80, 3)) * 30, np.array([(-40.0, 3, 3)])):
+        index, d2 = alignment._nearest_around(q, t, 0.2)
+        d = ((q[:, None] - t[None]) ** 2).sum(axis=2)
+        assert (index == d.argmin(axis=1)).all() and np.allclose(d2, d.min(axis=1))
+
+
 def test_pose_vcm_query(spark, sf):
     """Row by row from the sums of all pairs, found without the library."""
     import __spark_entry__ as registry
