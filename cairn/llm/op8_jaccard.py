@@ -420,7 +420,7 @@ def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     sent = _in_turn(members.join(reps.select("node", "sig"), "node").select(*_GROUP, "blk", "task", "node", "sig"))
     forest = sent.mapInArrow(_forests, "a long, b long").distinct()
     forest = storage.stored(forest, "forest")
-    joined = storage.stored(connected_components(forest).select(F.col("id").alias("node"), F.col("component").alias("grp")), "candidates")
+    joined = connected_components(forest).select(F.col("id").alias("node"), F.col("component").alias("grp"))
 
     held = joined.join(reps.select("node", "rep", "copies", "n_words", "sig"), "node")
     sizes = held.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w")).select("grp", F.expr(f"greatest({_blocks('m', BLOCK, 8 * BLOCK)}, ceil(w / {BLOCK_WORDS}))").alias("blocks"))
@@ -433,7 +433,7 @@ def _classed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     links = storage.stored(_in_turn(groups).mapInArrow(_verified, "node long, root long, links long"), "links")
 
     per_node = links.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("part"))
+    parts = connected_components(links, "node", "root").select(F.col("id").alias("node"), F.col("component").alias("part"))
     known = reps.select("node", "k2", "rep", "copies").join(parts, "node", "left").join(per_node, "node", "left").withColumn("part", F.coalesce("part", "node"))
     known = storage.stored(known, "known")
     named = known.groupBy("part").agg(F.min("rep").alias("root"))

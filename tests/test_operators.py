@@ -102,6 +102,21 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_are_solved_at_once(spark, monkeypatch):
+    """Both ways give the same rows; the one for few edges writes the edges and the result, however long the paths are."""
+    rng = np.random.default_rng(8)
+    ends = [(int(x), int(y)) for x, y in rng.integers(-60, 60, size=(70, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, None), (-2000, -2000)]
+    edges = spark.createDataFrame(ends, "p long, q long")
+    rounds = sorted(map(tuple, connected_components(edges, "p", "q", few=0).collect()))
+    written, stored = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name="table": written.append(name) or stored(df, name))
+    assert sorted(map(tuple, connected_components(edges, "p", "q").collect())) == rounds
+    assert len(written) == 2 and len(rounds) == len({x for e in ends for x in e if None not in e})
+    known = stored(edges.select("p", "q"))
+    written.clear()
+    assert sorted(map(tuple, connected_components(known, "p", "q").collect())) == rounds and len(written) == 1  # the edges are not written again
+
+
 @pytest.mark.parametrize(
     "start, bb, lod, d75, want",
     [
