@@ -298,6 +298,21 @@ def test_supervoxels_against_all_pairs(spark):
         assert {x["pid"]: x["sv_id"] for x in supervoxels.settled(held, near, found, size).collect()} == dict(enumerate(label.tolist()))
 
 
+def test_supervoxels_of_few_edges_merge_at_once(spark, monkeypatch):
+    """From every round on, one task goes on as the tables do; it writes one table for all its rounds."""
+    r = np.random.default_rng(6)
+    xyz = np.round(np.vstack([r.normal(size=(50, 3)) * 0.1, r.normal(size=(40, 3)) * [0.3, 0.3, 0.02] + 5]), 2)
+    held, near = supervoxels.oriented(table(spark, xyz), 7)
+    n = near.unionByName(near.select(F.col("nbr_id").alias("pid"), F.col("pid").alias("nbr_id"))).distinct().count()
+    label = lambda groups, few: {x["pid"]: x["sv_id"] for x in supervoxels.merged(held, near, 0.3, groups, few=few).collect()}
+    rounds = {groups: label(groups, 0) for groups in (9, 1)}
+    assert label(9, n // 2) == rounds[9]
+    written, stored = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name="table": written.append(name) or stored(df, name))
+    assert {groups: label(groups, None) for groups in (9, 1)} == rounds
+    assert written.count("granted") == 2 and "asked" not in written
+
+
 def test_supervoxels_are_a_partition(spark):
     r = np.random.default_rng(4)
     xyz = np.vstack([r.normal(size=(60, 3)) * 0.1, r.normal(size=(60, 3)) * 0.1 + 5])  # unconnected
