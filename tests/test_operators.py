@@ -1,8 +1,10 @@
 """Operators against numpy and hand-made cases."""
 
 import math
+import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,3 +414,59 @@ def test_malformed_points_fail(spark, tmp_path):
 def test_pair_report():
     name, body = text.pair_report(7, -1, {"t": np.eye(4).ravel().tolist(), "vcm": np.eye(6).ravel().tolist()})
     assert name == "7_Adaptive_TransMatrix.txt" and body.count("\n") > 10
+
+
+def _written(spark, monkeypatch):
+    """(name, rows) of every table that is stored from now on, and the folders that still exist."""
+    made, stored = [], storage.stored
+
+    def keep(df, name="table"):
+        out = stored(df, name)
+        made.append((name, out.count(), out.columns, out._stored_at.removeprefix("file://")))
+        return out
+
+    monkeypatch.setattr(storage, "stored", keep)
+    return made
+
+
+def test_registration_writes_points_not_pairs(spark, sf, monkeypatch):
+    """No table has more rows than a scan has points (the 14 neighbours of each point are not written), and all are deleted."""
+    monkeypatch.setattr(neighbours, "SMALL", 100)
+    f = storage.stored(facets(spark, sf).filter("label % 15 < 5 and label < 75"))
+    run = lambda: series.register_pair(f.filter("scan_idx = 1"), f.filter("scan_idx = 0"), key="label", dt=0.05, dt_min=0.004, sizes=0.2).first()
+    want = run()
+    made = _written(spark, monkeypatch)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 400)  # exchanges in turns
+    got = run()
+    n = f.filter("scan_idx = 0").count()
+    assert max(rows for _, rows, _, _ in made) <= n and {"near", "accepted"} <= {name for name, _, _, _ in made}
+    assert not [at for *_, at in made if os.path.exists(at)]
+    assert np.allclose(got["t"], want["t"], atol=1e-9) and got["stable_ratio"] == want["stable_ratio"] and np.allclose(got["dt"], want["dt"])
+
+
+@pytest.mark.parametrize("many", [30_000, 50])
+@pytest.mark.parametrize("turn", [4_000_000, 90])
+def test_made_of_neighbours_equals_pairs(spark, monkeypatch, many, turn):
+    """What is made in the blocks against the same of all pairs, with carried columns, far points and points without a place."""
+    monkeypatch.setattr(neighbours, "MOST_IN_BLOCK", many)
+    monkeypatch.setattr(neighbours, "AT_ONCE", turn)
+    xyz = np.vstack([np.round(np.random.default_rng(5).random((200, 3)), 1), [(40, 0, 0), (0, -30, 2)]])
+    p = table(spark, xyz).withColumn("part", F.concat(F.lit("p"), "pid")).unionByName(spark.createDataFrame([(900, None, 0.0, 0.0, "none")], POINTS + ", part string"))
+    last = lambda row, ids, places, d2, n: [pa.array(ids[np.searchsorted(row, np.arange(n), "right") - 1]), pa.array(np.bincount(row, d2, minlength=n).astype(float))]
+    for k, own in ((1, True), (6, False), (300, True)):
+        got = {r["pid"]: (r["nbr"], round(r["total"], 9)) for r in neighbours.with_nearest(p, k, last, "nbr long, total double", include_self=own).collect() if r["part"] == f"p{r['pid']}"}
+        pairs = neighbours.knn_join(p, p, k, include_self=own).groupBy("pid").agg(F.max_by("nbr_id", "rank").alias("nbr"), F.sum("d2").alias("total"))
+        assert got == {r["pid"]: (r["nbr"], round(r["total"], 9)) for r in pairs.collect()} and len(got) == 202
+    far = neighbours.with_nearest(p.filter("pid < 90"), 1, last, "nbr long, total double", target=p.filter("pid >= 90"), carry=False)
+    want = neighbours.knn_join(p.filter("pid < 90"), p.filter("pid >= 90"), 1)
+    assert far.columns == ["nbr", "total"] and sorted(map(tuple, far.collect())) == sorted((r["nbr_id"], r["d2"]) for r in want.collect())
+    assert neighbours.with_nearest(p.limit(0), 3, last, "nbr long, total double").count() == 0
+
+
+def test_outliers_by_blocks(spark, monkeypatch):
+    xyz = np.vstack([np.random.default_rng(5).normal(size=(300, 3)), [[50, 50, 50]]])
+    p = table(spark, xyz).unionByName(spark.createDataFrame([(900, None, 0.0, 0.0)], POINTS))
+    want = sorted(r["pid"] for r in filters.remove_outliers(p, 5, 2.7).collect())
+    monkeypatch.setattr(neighbours, "SMALL", 0)
+    got = filters.remove_outliers(p, 5, 2.7)
+    assert got.columns == p.columns and sorted(r["pid"] for r in got.collect()) == want and 300 not in want and 900 in want
