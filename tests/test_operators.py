@@ -444,6 +444,20 @@ def test_registration_writes_points_not_pairs(spark, sf, monkeypatch):
     assert np.allclose(got["t"], want["t"], atol=1e-9) and got["stable_ratio"] == want["stable_ratio"] and np.allclose(got["dt"], want["dt"])
 
 
+def test_series_deletes_a_scan_after_its_last_pair(spark, sf, monkeypatch):
+    f = storage.stored(facets(spark, sf, 3).filter("label % 15 < 5 and label < 75"))
+    run = lambda: sorted(map(tuple, series.register_series(f, key="label", mode=1, dt=0.05, dt_min=0.004, sizes=0.2).collect()))
+    want, register, seen = run(), series._register, []
+    made = _written(spark, monkeypatch)
+    monkeypatch.setattr(series, "_register", lambda *a: seen.append(sum(os.path.exists(at) for name, *_, at in made if name == "prepared")) or register(*a))
+    monkeypatch.setattr(neighbours, "AT_ONCE", 400)
+    got = run()
+    assert seen == [2, 2, 2]
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-9) and a[3] == b[3] is None
+    assert not [at for name, *_, at in made if name != "chain" and os.path.exists(at)]
+
+
 @pytest.mark.parametrize("many", [30_000, 50])
 @pytest.mark.parametrize("turn", [4_000_000, 90])
 def test_made_of_neighbours_equals_pairs(spark, monkeypatch, many, turn):
