@@ -484,3 +484,17 @@ def test_outliers_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SMALL", 0)
     got = filters.remove_outliers(p, 5, 2.7)
     assert got.columns == p.columns and sorted(r["pid"] for r in got.collect()) == want and 300 not in want and 900 in want
+
+
+def test_supervoxels_write_no_pairs(spark, monkeypatch):
+    """Lists of neighbours instead of pairs, edges in turns, and tables of past rounds deleted; the same groups."""
+    xyz = np.random.default_rng(7).random((150, 3)) * [3, 2, 0.3]
+    p = table(spark, xyz)
+    run = lambda: {x["pid"]: x["sv_id"] for x in supervoxels.fused(p, 0.6, 8).collect()}
+    monkeypatch.setattr(supervoxels, "FEW_EDGES", 100)
+    want, made = run(), _written(spark, monkeypatch)
+    monkeypatch.setattr(neighbours, "SMALL", 50)
+    monkeypatch.setattr(supervoxels, "AT_ONCE", 700)
+    assert run() == want
+    assert max(rows for name, rows, *_ in made if name == "near") <= 150 and len([1 for name, *_ in made if name == "touching"]) > 3
+    assert not [name for name, *_, at in made if name in ("touching", "groups", "asked", "nearest") and os.path.exists(at)]
